@@ -31,9 +31,6 @@ from dumploom.llm.common import arrow_map, materialize, mix64, text_bytes, utf8
 from dumploom.llm.graph import grouped, groups
 from dumploom.llm.ngram_join import _powers
 
-BLOCK = 1 << 19  # windows of a text handled at once; positions in a block fit 20 bits
-
-
 @dataclass(frozen=True)
 class RepeatParams:
     length: int = 400
@@ -43,6 +40,7 @@ class RepeatParams:
     #: Bytes of contexts in one transform (a larger group of at most ``most_contexts`` still is one).
     transform_bytes: int = 2 << 20
     split: int = 8
+    block: int = 1 << 19  # windows of a text handled at once; positions in a block must fit 20 bits
 
 
 class Hashes:
@@ -97,8 +95,8 @@ def _occurrences(p: RepeatParams):
 
             for k1, k2, text in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), utf8(batch.column("text")), strict=True):
                 whole = np.frombuffer(text, np.uint8)
-                for at in range(0, len(whole) - p.length + 1, BLOCK):
-                    lo, hi, anchor, context, far = anchors(whole[at : at + BLOCK + p.length - 1], p)
+                for at in range(0, len(whole) - p.length + 1, p.block):
+                    lo, hi, anchor, context, far = anchors(whole[at : at + p.block + p.length - 1], p)
                     _, index, back, count = np.unique(np.stack([anchor, context], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
                     add(k1, k2, anchor[index].view(np.int64), context[index].view(np.int64), lo[index] + at, hi[index] + at, count, far[index])
                     if (again := count[back.ravel()] > 1).any():  # repeats inside the block: found here

@@ -1,7 +1,8 @@
 """Toxicity: a subsequence-string-kernel support vector machine on Nyström landmarks.
 
-Words are compared by their common subsequences of three characters, gaps costing ``decay``
-each, so a gapped insult or one with characters put in keeps most of its similarity. Landmarks
+Words are compared by their common subsequences of three letters, a letter in between
+costing ``decay`` and other signs nothing, so a gapped insult or one with characters put in keeps
+most of its similarity. Landmarks
 are character runs that training texts with label 1 have far more often than others. A
 sentence's kernel row is, for each landmark, the largest similarity among its words
 (k(word, landmark) / k(landmark, landmark), at most 1, squared; below ``least`` 0); the landmarks'
@@ -47,7 +48,7 @@ class ToxicityParams:
     support: float = 0.02  # a landmark is in at least this share of the texts of label 1
     run_lengths: tuple[int, ...] = (4, 5, 6, 8, 10)
     odds: float = 3.0  # and this many times (log) likelier in them
-    decay: float = 0.6
+    decay: float = 0.8
     least: float = 0.45
     sentences: int = 8  # of a text, those with the largest similarities
     cost: float = 50.0
@@ -112,11 +113,13 @@ def sentence_rows(model: ToxicityModel, texts: list[str]):
     space = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0x85) | (points == 0xA0) | (points == 0x3000)
     word = np.cumsum(space).astype(np.int32)
     at, value, row = [], [], []
-    for codes, weight, b in _subsequences(classes, model.params.decay):
+    letters = np.flatnonzero(classes)  # signs between a word's letters are no gap
+    of = word[letters]
+    for codes, weight, b in _subsequences(classes[letters], model.params.decay):
         got = model.codes[codes]
         hit = np.flatnonzero(got >= 0)
-        hit = hit[word[hit] == word[hit + b]]
-        at.append(word[hit])
+        hit = hit[of[hit] == of[hit + b]]
+        at.append(of[hit])
         row.append(got[hit])
         value.append(np.full(len(hit), weight, np.float32))
     out = [np.zeros((0, model.weights.shape[1]), np.float32)] * len(texts)

@@ -130,15 +130,14 @@ def test_repeats_equal_brute_force(spark, most):
     assert got == want
 
 
-def test_repeats_in_blocks(spark, monkeypatch):
+def test_repeats_in_blocks(spark):
     rng = np.random.default_rng(1)
     text = rng.integers(97, 101, 3000).astype(np.uint8)
     text[2000:2500] = text[100:600]
-    whole = suffix_dedup.RepeatParams()
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
     docs = spark.createDataFrame([(1, 2, bytes(text))], "k1 long, k2 long, text binary")
-    spans = suffix_dedup._disjoint([r.asDict() for r in suffix_dedup.repeats(docs, whole).collect()])
-    assert spans == [(100, 600), (2000, 2500)]
+    spans = suffix_dedup._disjoint([r.asDict() for r in suffix_dedup.repeats(docs, suffix_dedup.RepeatParams(block=300)).collect()])
+    mask = brute_repeats([bytes(text)], 400)[0]
+    assert mask.sum() >= 1000 and spans == [(int(a), int(b)) for a, b in np.flatnonzero(np.diff(np.r_[0, mask, 0])).reshape(-1, 2)]
 
 
 def test_remove_repeats_keeps_columns(odd_docs):
