@@ -1,9 +1,297 @@
-"""Registered queries over the sample tables, and the same in SQL."""
+"""Registered queries over the sample tables, and the same in SQL.
 
+Most render a table as COPY text and decode it again; the SQL reads the table itself.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import tempfile
+import uuid
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dumploom.functions.copytext import escape, text, unescape
+from dumploom.functions.pgtypes import resolve
+from dumploom.functions.values import parse
+from dumploom.operators import anonymise
+from dumploom.operators.decode import columns_only, decode
+from dumploom.operators.reports import HISTORY, missing, schema_changes, snapshot_versions
+from dumploom.operators.store import Table
+from dumploom.plans.dumps import copy_lines, write_dump
+from dumploom.plans.load import load_dump
+
+#: How the sample tables are declared.
+DECLARED = {
+    "region": "r_regionkey integer, r_name text", "nation": "n_nationkey integer, n_name text, n_regionkey integer",
+    "customer": "c_custkey bigint, c_name text, c_nationkey integer, c_acctbal double precision, c_mktsegment character varying(10)",
+    "supplier": "s_suppkey bigint, s_name text, s_nationkey integer, s_acctbal double precision",
+    "part": "p_partkey bigint, p_name text, p_brand text, p_type text, p_size integer, p_retailprice double precision",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus character(1), o_totalprice double precision, o_orderdate timestamp without time zone, o_orderpriority text",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber integer, l_quantity double precision, l_extendedprice double precision, l_discount double precision, "
+    "l_tax double precision, l_returnflag text, l_linestatus text, l_shipdate timestamp(6) without time zone",
+    "events": "event_id bigint, ts timestamp without time zone, user_id bigint, event_type text, value double precision, props jsonb",
+}
+
+
+def columns_of(table: str) -> list[tuple[str, str]]:
+    return [tuple(c.split(" ", 1)) for c in DECLARED[table].split(", ")]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def decoded(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table as COPY text and back; timestamps as the sample tables have them."""
+    columns = columns_of(table)
+    rows = columns_only(decode(copy_lines(_table(spark, sf_dir, table), columns), tuple(columns)), tuple(columns))
+    zoneless = {c: F.col(c).cast("timestamp_ntz") for c, kind in rows.dtypes if kind == "timestamp"}
+    return rows.withColumns(zoneless) if zoneless else rows
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decoded(spark, sf_dir, "orders")
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"), F.max("o_orderdate").alias("latest"))
+
+
+def _one(spark, sf_dir, table, key, field, declared, *, wide=False, arrays=False):
+    """``key`` and one rendered field, decoded as ``declared``: value and whether it was replaced by null."""
+    rows = _table(spark, sf_dir, table).select(F.col(key), text(escape(field), "v").alias("raw"))
+    value, lost = parse(F.col("raw"), "v", resolve(declared), wide, arrays)
+    return rows.select(key, value.alias("v"), lost.alias("lost"))
+
+
+def escapes(table: str, key: str, column: str):
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, table).select(key, escape(F.concat(F.col(column), F.lit("\t\\N\r\x08\x0c\x0b"))).alias("f"))
+        return rows.select(key, F.md5(F.encode(text(F.col("f"), column), "UTF-8")).alias("digest"))
+
+    return run, f"SELECT {key}, md5({column} || chr(9) || chr(92) || 'N' || chr(13) || chr(8) || chr(12) || chr(11)) AS digest FROM {table}"
+
+
+def octal_and_hex(spark, sf_dir):
+    """Every byte of a name as an octal escape, every byte of another column as a hexadecimal one."""
+    rows = _table(spark, sf_dir, "customer")
+    octal = F.array_join(F.transform(F.split("c_name", ""), lambda c: F.concat(F.lit("\\"), F.lpad(F.conv(F.hex(F.encode(c, "UTF-8")), 16, 8), 3, "0"))), "")
+    hexed = F.array_join(F.transform(F.split("c_mktsegment", ""), lambda c: F.concat(F.lit("\\x"), F.hex(F.encode(c, "UTF-8")))), "")
+    return rows.select("c_custkey", text(octal, "a").alias("a"), unescape(hexed).cast("string").alias("b"))
+
+
+def null_and_empty(spark, sf_dir):
+    value = F.when(F.col("c_custkey") % 3 == 0, None).when(F.col("c_custkey") % 3 == 1, "").otherwise(F.col("c_name"))
+    got = _table(spark, sf_dir, "customer").select("c_custkey", text(escape(value), "v").alias("v"))
+    return got.select("c_custkey", F.col("v").isNull().alias("is_null"), (F.col("v") == "").alias("is_empty"), "v")
+
+
+def decimals(declared: str, wide: bool):
+    def run(spark, sf_dir):
+        price = F.concat(F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit("000"))
+        return _one(spark, sf_dir, "orders", "o_orderkey", price, declared, wide=wide).select("o_orderkey", F.col("v").cast("decimal(38,2)").alias("price"))
+
+    return run
+
+
+def dates(spark, sf_dir):
+    """Infinite, BC and rolled-over dates among plain ones."""
+    k, plain = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    shown = F.when(k % 7 == 0, "infinity").when(k % 7 == 1, "-infinity").when(k % 7 == 2, "0001-01-01 BC").when(k % 7 == 3, "2023-02-31").otherwise(plain)
+    got = _one(spark, sf_dir, "orders", "o_orderkey", shown, "date")
+    return got.select("o_orderkey", F.unix_date("v").cast("long").alias("days"), "lost")
+
+
+def offsets(spark, sf_dir):
+    zone = F.when(F.col("event_id") % 3 == 0, "+05:30").when(F.col("event_id") % 3 == 1, "-08").otherwise("+00")
+    shift = F.when(F.col("event_id") % 3 == 0, 19800).when(F.col("event_id") % 3 == 1, -28800).otherwise(0)
+    local = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + shift.cast("bigint") * 1_000_000).cast("string")
+    got = _one(spark, sf_dir, "events", "event_id", F.concat(local, zone), "timestamp with time zone")
+    return got.select("event_id", F.col("v").cast("timestamp_ntz").alias("ts"))
+
+
+def times(spark, sf_dir):
+    shown = F.when(F.col("event_id") % 5 == 0, "24:00:00").otherwise(F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(".25+02")))
+    return _one(spark, sf_dir, "events", "event_id", shown, "time with time zone").select("event_id", F.col("v").alias("micros"))
+
+
+def booleans(spark, sf_dir):
+    shown = F.when(F.col("quality") == 1, "t").when(F.col("quality") == 0, "f")
+    return _one(spark, sf_dir, "labels", "doc_id", shown, "boolean").select("doc_id", F.col("v").alias("good"))
+
+
+def bytes_hex(spark, sf_dir):
+    shown = F.concat(F.lit("\\x"), F.hex(F.encode("text", "UTF-8")))
+    return _one(spark, sf_dir, "documents", "doc_id", shown, "bytea").select("doc_id", F.md5("v").alias("digest"))
+
+
+def bytes_escape(spark, sf_dir):
+    shown = F.concat(F.replace(F.col("event_type"), F.lit("e"), F.lit("\\145")), F.lit("\\\\"))
+    return _one(spark, sf_dir, "events", "event_id", shown, "bytea").select("event_id", F.col("v").cast("string").alias("v"))
+
+
+def arrays(native: bool):
+    def run(spark, sf_dir):
+        shown = F.concat(F.lit("{"), F.array_join("embedding", ","), F.lit(",NULL}"))
+        got = _one(spark, sf_dir, "embeddings", "vec_id", shown, "real[]", arrays=native)
+        if not native:
+            return got.select("vec_id", F.startswith("v", F.lit("{")).alias("literal"), (F.size(F.split("v", ",")) - 1).cast("long").alias("n"))
+        return got.select("vec_id", F.size("v").cast("long").alias("n"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).isNull().alias("last_is_null"))
+
+    return run
+
+
+def substitutions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("a"), F.when(k % 5 == 0, "NaN").otherwise("1.50").alias("b"), F.when(k % 4 == 0, "infinity").otherwise("2020-01-01").alias("c")
+    )
+    columns = (("a", "bigint"), ("b", "numeric(5,2)"), ("c", "timestamp without time zone"))
+    got = decode(copy_lines(rows, list(columns)), columns)
+    return got.rows.agg(F.count("*").alias("n_rows"), *[got.substituted[c].alias(f"lost_{c}") for c in ("b", "c")])
+
+
+def rows_per_table(spark, sf_dir):
+    counts = [decoded(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n_rows")) for t in DECLARED]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def _names(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "table string")
+
+
+def missing_tables(spark, sf_dir):
+    return missing(_names(spark, ["public.a", "public.c", "public.b", "public.b"]), _names(spark, ["public.a", "audit.log"]))
+
+
+def unexpected_tables(spark, sf_dir):
+    return missing(_names(spark, ["public.a", "audit.log"]), _names(spark, ["public.a", "public.c"]))
+
+
+def schema_diff(spark, sf_dir):
+    current = [(f.name, f.dataType.simpleString()) for f in _table(spark, sf_dir, "nation").schema]
+    incoming = [(n, "bigint" if n == "n_nationkey" else k) for n, k in current if n != "n_name"] + [("n_comment", "string")]
+    frames = [spark.createDataFrame(x, "column string, type string") for x in (current, incoming)]
+    return schema_changes(*frames)
+
+
+def first_rows(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("table"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"))
+    return anonymise.first_rows(rows, 5)
+
+
+def audit(spark, sf_dir):
+    bench, docs = _table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents")
+    return anonymise.shared_tokens(bench, docs)
+
+
+def anonymised(spark, sf_dir):
+    """What must hold of anonymised rows: lengths, field counts and kinds stay."""
+    columns = columns_of("customer")
+    rows = _table(spark, sf_dir, "customer")
+    lines = rows.select("c_custkey", copy_lines_of(columns).alias("line"), F.col("c_custkey").alias("row_index"))
+    out = anonymise.anonymise_rows(lines, "secret", "public.customer")
+    parts = F.split("line", "\t", -1)
+    return out.select("c_custkey", F.size(parts).cast("long").alias("n"), F.length("line").cast("long").alias("size"), parts[2].rlike("^-?[0-9]+$").alias("number"))
+
+
+def copy_lines_of(columns):
+    from dumploom.functions.copytext import render_row
+
+    return render_row(*[F.col(c).cast("string") for c, _ in columns])
+
+
+def _folder(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dumploom-")
+    return f"{base.rstrip('/')}/loads-{uuid.uuid4().hex}"
+
+
+def _dump_of(spark, sf_dir, folder, names, compress=False):
+    from dumploom.sources.files import file_system
+
+    store, path = file_system(folder)
+    store.create_dir(path, recursive=True)
+    tables = [(f"public.{t}", columns_of(t), _table(spark, sf_dir, t)) for t in names]
+    return write_dump(f"{folder}/dump-{uuid.uuid4().hex[:6]}.sql", tables, compress)
+
+
+def load_and_read(spark, sf_dir):
+    """Through a compressed dump file, the loader and the store."""
+    folder = _folder(spark)
+    load_dump(spark, _dump_of(spark, sf_dir, folder, ["nation", "supplier"], True), folder)
+    return Table(f"{folder}/public/supplier").read(spark)
+
+
+def load_filtered(spark, sf_dir):
+    folder = _folder(spark)
+    dump = _dump_of(spark, sf_dir, folder, ["region", "nation"])
+    report = load_dump(spark, dump, folder, tables=["public.nation", "public.gone"])
+    told = [(t.table, t.rows) for t in report.tables] + [(f"missing {m}", 0) for m in report.missing_tables]
+    return spark.createDataFrame(told, "name string, n_rows long")
+
+
+def load_append(spark, sf_dir):
+    folder = _folder(spark)
+    dump = _dump_of(spark, sf_dir, folder, ["nation"])
+    for mode in ("overwrite", "append"):
+        load_dump(spark, dump, folder, mode=mode)
+    return Table(f"{folder}/public/nation").read(spark)
+
+
+def time_travel(spark, sf_dir):
+    """Version 1 after an overwrite made version 2; 0 is the empty table."""
+    folder = _folder(spark)
+    load_dump(spark, _dump_of(spark, sf_dir, folder, ["nation"]), folder)
+    tables = [("public.nation", columns_of("nation"), _table(spark, sf_dir, "nation").where("n_regionkey = 1"))]
+    load_dump(spark, write_dump(f"{folder}/second.sql", tables), folder)
+    table = Table(f"{folder}/public/nation")
+    counts = [table.read(spark, v).agg(F.lit(v).alias("version"), F.count("*").alias("n_rows")) for v in (0, 1, 2)]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+def history(spark, sf_dir):
+    folder = _folder(spark)
+    dump = _dump_of(spark, sf_dir, folder, ["region", "nation"])
+    report = load_dump(spark, dump, folder, expect_tables=["public.region", "public.gone"], write_history=True)
+    return snapshot_versions(Table(f"{folder}/{HISTORY}").read(spark), report.load_id)
+
+
+_SELECT = {f"copy_roundtrip_{t}": (lambda s, d, t=t: decoded(s, d, t), f"SELECT * FROM {t}") for t in DECLARED}
+_ALL = _SELECT | {
+    "flagship_orders": (flagship, "SELECT o_orderstatus, count(*) AS n_orders, sum(o_totalprice) AS total, max(o_orderdate) AS latest FROM orders GROUP BY 1"),
+    "copy_escapes_documents": escapes("documents", "doc_id", "text"),
+    "copy_escapes_pages": escapes("pages", "page_id", "html"),
+    "escape_octal_hex": (octal_and_hex, "SELECT c_custkey, c_name AS a, c_mktsegment AS b FROM customer"),
+    "null_vs_empty": (null_and_empty, "SELECT c_custkey, v IS NULL AS is_null, v = '' AS is_empty, v FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END AS v FROM customer)"),
+    "decimal_strict_prices": (decimals("numeric(12,2)", False), "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(38,2)) AS price FROM orders"),
+    "wide_numeric_decimal": (decimals("numeric", True), "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(38,2)) AS price FROM orders"),
+    "date_bc_infinity_rollover": (dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 1) THEN NULL WHEN o_orderkey % 7 = 2 THEN -719528 WHEN o_orderkey % 7 = 3 THEN date_diff('day', DATE '1970-01-01', DATE '2023-03-03') ELSE date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) END AS days, o_orderkey % 7 IN (0, 1) AS lost FROM orders"),
+    "timestamptz_offsets_events": (offsets, "SELECT event_id, ts FROM events"),
+    "time_of_day_micros": (times, "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(((extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts))) * 1000000 + 250000 - 7200000000 + 86400000000) AS BIGINT) % 86400000000 END AS micros FROM events"),
+    "bool_copy_labels": (booleans, "SELECT doc_id, CASE quality WHEN 1 THEN true WHEN 0 THEN false END AS good FROM labels"),
+    "bytea_hex_documents": (bytes_hex, "SELECT doc_id, md5(text) AS digest FROM documents"),
+    "bytea_escape_events": (bytes_escape, "SELECT event_id, event_type || chr(92) AS v FROM events"),
+    "array_native_embeddings": (arrays(True), "SELECT vec_id, CAST(len(embedding) + 1 AS BIGINT) AS n, embedding[1] AS first, true AS last_is_null FROM embeddings"),
+    "array_text_literal": (arrays(False), "SELECT vec_id, true AS literal, CAST(len(embedding) AS BIGINT) AS n FROM embeddings"),
+    "null_substitutions": (substitutions, "SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey % 5 = 0) AS lost_b, count(*) FILTER (o_orderkey % 4 = 0) AS lost_c FROM orders"),
+    "rows_per_table": (rows_per_table, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in DECLARED)),
+    "missing_tables": (missing_tables, "SELECT * FROM (VALUES ('public.b'), ('public.c')) AS t(\"table\")"),
+    "unexpected_tables": (unexpected_tables, "SELECT 'audit.log' AS \"table\""),
+    "schema_diff": (schema_diff, "SELECT * FROM (VALUES ('n_nationkey', 'int', 'bigint'), ('n_name', 'string', NULL), ('n_comment', NULL, 'string')) AS t(\"column\", was, now)"),
+    "max_rows_per_block": (first_rows, 'SELECT "table", line_no FROM (SELECT l_returnflag AS "table", l_orderkey * 10 + l_linenumber AS line_no, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) WHERE r <= 5'),
+    "audit_shared_tokens": (audit, "SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_.@-]{8,}')) AS token FROM benchmark) WHERE regexp_matches(token, '[^0-9]') AND token IN (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_.@-]{8,}')) FROM documents)"),
+    "load_and_read": (load_and_read, "SELECT * FROM supplier"),
+    "load_filtered": (load_filtered, "SELECT 'public.nation' AS name, count(*) AS n_rows FROM nation UNION ALL SELECT 'missing public.gone', 0"),
+    "load_append": (load_append, "SELECT * FROM nation UNION ALL SELECT * FROM nation"),
+    "time_travel": (time_travel, "SELECT 0 AS version, 0::BIGINT AS n_rows UNION ALL SELECT 1, count(*) FROM nation UNION ALL SELECT 2, count(*) FROM nation WHERE n_regionkey = 1"),
+    "history_snapshot": (history, "SELECT 'public.gone' AS \"table\", NULL::BIGINT AS delta_version, NULL::BIGINT AS rows, 'missing' AS status UNION ALL SELECT 'public.nation', 1, (SELECT count(*) FROM nation), 'loaded' UNION ALL SELECT 'public.region', 1, (SELECT count(*) FROM region), 'loaded'"),
+    "anonymised_shape": (anonymised, None),
+}
+
+
+def queries() -> dict:
+    return {name: run for name, (run, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
