@@ -108,25 +108,36 @@ def _occurrences(p: RepeatParams):
     return run
 
 
-def suffix_array(symbols: np.ndarray, owner: np.ndarray, left: np.ndarray, most: int) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, owner: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes in order; a separator (0) ends a suffix, ties then go by ``owner``. ``left``: symbols before the separator."""
     n, k = len(symbols), 7
     padded = np.append(symbols.astype(np.int64), np.zeros(k, np.int64))
     key = np.zeros(n, np.int64)
     for j in range(k):
         key = (key << 9) | np.where(left >= j, padded[j : j + n], 0)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while True:
-        ended = left < k
-        ahead = np.where(ended, owner, rank[np.minimum(np.arange(n) + k, n - 1)])
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        step = np.append(False, key[order][1:] != key[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
+    rank = np.zeros(n, np.int64)  # where a suffix's ties begin in the order
+    open_, k = np.arange(n), 7
+    open_ = _settle(rank, open_, key)
+    while len(open_):
+        ahead = rank[np.minimum(open_ + k, n - 1)]
+        ended = left[open_] < k
+        ahead[ended] = owner[open_[ended]]
+        open_ = _settle(rank, open_, rank[open_] * (n + 1) + ahead)
         k *= 2
-        if k > most + 1 or rank[order[-1]] == n - 1:
-            return order
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
+
+
+def _settle(rank: np.ndarray, open_: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Order the suffixes ``open_`` by ``key`` within their ties, set their ranks and return those that still tie."""
+    by = np.argsort(key)
+    at, key, before = open_[by], key[by], rank[open_[by]]
+    new, old = (np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in (key, before))
+    sizes = np.diff(np.append(new, len(at)))
+    start_of_old = np.repeat(old, np.diff(np.append(old, len(at))))
+    rank[at] = before + np.repeat(new, sizes) - start_of_old
+    return at[np.repeat(sizes > 1, sizes)]
 
 
 def shared_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
@@ -136,7 +147,7 @@ def shared_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     n, ends = len(symbols), np.cumsum(sizes)
     owner = np.repeat(np.arange(len(bodies)), sizes)
     left = ends[owner] - 1 - np.arange(n)
-    order = suffix_array(symbols, owner, left, int(sizes.max()))
+    order = suffix_array(symbols, owner, left)
     bwt = symbols[order - 1]  # of the suffix at 0 this is the last separator
     back = np.empty(n, np.int64)  # where a suffix's extension by its preceding symbol stands
     back[np.argsort(bwt, kind="stable")] = np.arange(n)
@@ -164,7 +175,7 @@ def shared_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
             kept = bwt[rows] != 0
             of, rows = of[kept], rows[kept]
             if len(rows):
-                sort = np.argsort(of * (n + 1) + back[rows], kind="stable")
+                sort = np.argsort(of * (n + 1) + back[rows])
                 of, rows = of[sort], rows[sort]
                 to, symbol = back[rows], bwt[rows]
                 start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1])))
