@@ -31,7 +31,7 @@ from dumploom.llm.common import arrow_map
 
 LEAF = 12
 MEMO = 24  # bytes of the longest window remembered
-CACHE = 250_000  # encoded matches a worker remembers, and half as many of their parts
+CACHE = 400_000  # encoded matches a worker remembers, and a quarter as many of their parts
 BLOCK = 200_000  # matches handled at once
 
 
@@ -62,7 +62,7 @@ class Encoder:
                 pairs[i] = rank(parts[i] + parts[i + 1], none)
         ids = [self.ranks[p] for p in parts]
         if len(piece) <= MEMO:
-            if len(self._leaves) >= CACHE // 2:
+            if len(self._leaves) >= CACHE // 4:
                 self._leaves.clear()
             self._leaves[piece] = ids
         return ids
@@ -70,7 +70,7 @@ class Encoder:
     def compatible(self, a: int, b: int) -> bool:
         """Whether the tokens ``a`` and ``b`` stay as they are when side by side."""
         if (known := self._compatible.get((a, b))) is None:
-            if len(self._compatible) > CACHE // 2:
+            if len(self._compatible) > CACHE // 4:
                 self._compatible.clear()
             known = self._compatible[a, b] = self.leaf(self.token[a] + self.token[b]) == [a, b]
         return known
