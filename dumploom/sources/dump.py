@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dumploom.errors import MalformedCreateTable, MissingDumpVersion, RowTooLarge, UnsupportedDumpVersion, UnterminatedCopy
 from dumploom.functions.copytext import Limits
+from dumploom.sources.code import send
 from dumploom.sources.ddl import CREATE, TableDef, TableName, ends_statement, parse_copy_header, parse_create_table, take_qualified
 from dumploom.sources.files import file_system, opened
 
@@ -149,6 +150,7 @@ def _columns(table: TableDef | None, name: TableName, columns: tuple[str, ...])
 
 def block_lines(spark: SparkSession, uri: str, ranges: list[tuple[int, int]], piece: int = 4 << 20) -> DataFrame:
     """The rows at ``ranges`` of a file, undecoded, in a string column ``value``; one task a range."""
+    send(spark)
     listed = spark.createDataFrame([(uri, a, b) for a, b in ranges], "uri string, first long, end long")
     listed = listed.repartitionByRange(max(1, len(ranges)), "first") if len(ranges) > 1 else listed.coalesce(1)
 
