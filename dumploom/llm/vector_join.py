@@ -6,7 +6,9 @@ coordinates; each block gets its proportional part of that budget, and a pair wi
 budget is within its part in some block. Each block is range-joined on a grid over its first
 coordinates, whose cells are twice the block's radius wide: a vector is in its own cell and
 probes later cells within the radius. Candidates of a cell are verified by their cosine in
-double precision, each pair in its first fitting block only.
+double precision, each pair in its first fitting block only. Blocks of 16 coordinates leave next
+to no false candidates, and few blocks mean few copies; cells and tiles are dealt by ids alone, so
+that vectors are moved once, to the tiles they are compared in.
 
 Pairs are never rows: a tile (see ``graph.tiles``) returns link counts and a spanning forest.
 
@@ -21,6 +23,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from dumploom.llm.common import arrow_map, materialize
@@ -30,9 +34,9 @@ from dumploom.llm.graph import UnionFind, components, grouped, groups, tiles
 @dataclass(frozen=True)
 class VectorParams:
     threshold: float = 0.95
-    block: int = 8  # coordinates in a block
+    block: int = 16  # coordinates in a block
     grid: int = 2  # of which so many make the grid
-    chunk: int = 3000
+    chunk: int = 12_000
 
 
 @lru_cache(8)
@@ -79,15 +83,21 @@ def _cells(raw: np.ndarray, params: VectorParams):
             yield np.full(len(at), k, np.int32), key, at, np.full(len(at), not shift.any())
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """All components of a column of arrays, and where each row's begin (and the last one's end)."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return rows.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(rows).to_numpy()))
+
+
 def _verify(table, bounds, params: VectorParams):
     nodes, side, mult, home, block = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "mult", "home", "block"))
     across = table.column("tile_a").to_numpy() != table.column("tile_b").to_numpy()
-    vectors = table.column("vector").to_pylist()
+    values, ends = _flat(table.column("v"))
     out_node, out_other, out_links = [], [], []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if not home[lo:hi].any():
             continue
-        raw = np.frombuffer(b"".join(vectors[lo:hi]), np.float64).reshape(hi - lo, -1)
+        raw = values[ends[lo] : ends[hi]].reshape(hi - lo, -1).astype(np.float64)
         y, k = rotated(raw), block[lo]
         parts = blocks(raw.shape[1], params)
         a, b, budget = parts[k]
@@ -96,8 +106,10 @@ def _verify(table, bounds, params: VectorParams):
         found = UnionFind(hi - lo)
         count = np.zeros(hi - lo, np.int64)
         unit = np.linalg.norm(raw, axis=1)
-        for at in range(0, hi - lo, 512):
-            near = square[at : at + 512, None] + square[None, :] - 2 * part[at : at + 512] @ part.T <= budget + 1e-5
+        for at in range(0, hi - lo, 256):
+            near = part[at : at + 256] @ (2 * part.T)
+            near -= square
+            near = near >= (square[at : at + 256] - np.float32(budget + 1e-5))[:, None]
             i, j = np.nonzero(near)
             i += at
             fit = (i < j) & (home[lo + i] | home[lo + j])
@@ -113,6 +125,10 @@ def _verify(table, bounds, params: VectorParams):
                 p, q = p[good], q[good]
                 np.add.at(count, p, mult[lo + q])
                 np.add.at(count, q, mult[lo + p])
+                if len(p) > hi - lo:  # most pairs of a large group are connected already
+                    root = found.roots()
+                    apart = root[p] != root[q]
+                    p, q = p[apart], q[apart]
                 for x, z in zip(p.tolist(), q.tolist(), strict=True):
                     if found.join(x, z):
                         out_node.append(nodes[lo + x])
@@ -127,29 +143,27 @@ def _verify(table, bounds, params: VectorParams):
 
 def near_vectors(vectors: DataFrame, params: VectorParams = VectorParams()) -> DataFrame:
     """vec_id, n_links, component_id (the smallest vec_id its links reach) and kept, one row a vector."""
-    values = F.col("embedding").cast("array<double>")
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    values = F.col("embedding").cast(f"array<{kind}>")
     good = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     rows = vectors.select("vec_id", values.alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
-    rows = rows.withColumn("v", F.when(F.col("good"), F.expr("transform(v, x -> x + 0D)")))
-    rows = materialize(rows.withColumn("node", F.when(F.col("good"), F.xxhash64("v"))).drop("good"), "vectors")
+    rows = rows.withColumn("v", F.when(F.col("good"), F.expr(f"transform(v, x -> x + cast(0 as {kind}))")))
+    rows = rows.withColumn("node", F.when(F.col("good"), F.xxhash64("v"))).drop("good")
     classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
     classes = materialize(classes, "vector-classes")
 
     def cells(batches):
         for batch in batches:
-            sizes = np.array([len(x) for x in batch.column("v").to_pylist()])
-            node, mult = batch.column("node").to_numpy(), batch.column("mult").to_numpy()
-            flat, ends = batch.column("v").flatten().to_numpy(), np.cumsum(sizes)
+            values, ends = _flat(batch.column("v"))
+            sizes, node = np.diff(ends), batch.column("node").to_numpy()
             for d in np.unique(sizes):
                 pick = np.flatnonzero(sizes == d)
-                raw = np.stack([flat[ends[i] - d : ends[i]] for i in pick])
+                raw = values[ends[pick][:, None] + np.arange(d)].astype(np.float64)
                 for block, key, at, home in _cells(raw, params):
-                    yield {"block": block, "key": key, "home": home, "node": node[pick[at]], "mult": mult[pick[at]], "vector": [raw[i].tobytes() for i in at]}
+                    yield {"block": block, "key": key, "home": home, "node": node[pick[at]]}
 
-    dealt = tiles(
-        arrow_map(classes.select("node", "mult", "v"), cells, "block int, key long, home boolean, node long, mult long, vector binary"),
-        ["block", "key"], "node", params.chunk,
-    )
+    dealt = tiles(arrow_map(classes.select("node", "v"), cells, "block int, key long, home boolean, node long"), ["block", "key"], "node", params.chunk)
+    dealt = dealt.join(classes.select("node", "mult", "v"), "node")
     tile = ["block", "key", "tile_a", "tile_b"]
     found = arrow_map(grouped(dealt, tile), lambda b: (_verify(t, k, params) for t, k in groups(b, tile)), "node long, other long, links long")
     found = materialize(found, "vector-links")
