@@ -83,6 +83,35 @@ def _cells(raw: np.ndarray, params: VectorParams):
             yield np.full(len(at), k, np.int32), key, at, np.full(len(at), not shift.any())
 
 
+def _sides(home: np.ndarray, side: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, rows, whether to pair each only with later ones) which cover each pair that has a row at home once; with ``side``, of different sides."""
+    if side is None:
+        order = np.argsort(~home, kind="stable")
+        return [(order[: home.sum()], order, True)]
+    first = side == side[0]
+    return [(np.flatnonzero(first & home), np.flatnonzero(~first), False), (np.flatnonzero(first & ~home), np.flatnonzero(~first & home), False)]
+
+
+def _close(part: np.ndarray, budget: float, sides: list, high: int = 256, wide: int = 2048):
+    """Pairs of rows of ``part`` whose squared distance may be within ``budget``, in pieces that fit the processor's cache."""
+    for rows, columns, later in sides:
+        x, y = part[rows], part[columns]
+        x_square, y_square = ((z**2).sum(axis=1) for z in (x, y))
+        y = np.ascontiguousarray(2 * y.T)
+        for at in range(0, len(x), high):
+            bound = (x_square[at : at + high] - np.float32(budget + 1e-5))[:, None]
+            for to in range(at if later else 0, len(columns), wide):
+                near = x[at : at + high] @ y[:, to : to + wide]
+                near -= y_square[to : to + wide]
+                found = np.flatnonzero(near >= bound)
+                if len(found):
+                    i, j = np.divmod(found, near.shape[1])
+                    i, j = i + at, j + to
+                    if later:
+                        i, j = i[i < j], j[i < j]
+                    yield rows[i], columns[j]
+
+
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """All components of a column of arrays, and where each row's begin (and the last one's end)."""
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -102,20 +131,10 @@ def _verify(table, bounds, params: VectorParams):
         parts = blocks(raw.shape[1], params)
         a, b, budget = parts[k]
         part = y[:, a:b].astype(np.float32)
-        square = (part**2).sum(axis=1)
         found = UnionFind(hi - lo)
         count = np.zeros(hi - lo, np.int64)
         unit = np.linalg.norm(raw, axis=1)
-        for at in range(0, hi - lo, 256):
-            near = part[at : at + 256] @ (2 * part.T)
-            near -= square
-            near = near >= (square[at : at + 256] - np.float32(budget + 1e-5))[:, None]
-            i, j = np.nonzero(near)
-            i += at
-            fit = (i < j) & (home[lo + i] | home[lo + j])
-            if across[lo]:
-                fit &= side[lo + i] != side[lo + j]
-            i, j = i[fit], j[fit]
+        for i, j in _close(part, budget, _sides(home[lo:hi], side[lo:hi] if across[lo] else None)):
             for s in range(0, len(i), 100_000):
                 p, q = i[s : s + 100_000], j[s : s + 100_000]
                 d = _distances(y[p] - y[q], parts)
