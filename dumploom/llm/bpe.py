@@ -27,7 +27,7 @@ from itertools import islice
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map
+from dumploom.llm.common import arrow_map, keeps
 
 LEAF = 12
 MEMO = 24  # bytes of the longest window remembered
@@ -171,6 +171,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple
 
     def encode(batches):
         encoder = load(vocabulary, pattern)
+        keeps(__name__, load.cache_clear)
         for batch in batches:
             n, ids_hash, text_hash, packed = [], [], [], []
             for text in batch.column("_bpe_text").to_pylist():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Arrow batches handed to Python stay near this size whatever the length of a text.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 
 _live: list[str] = []
 _shipped: dict[str, str] = {}
@@ -82,6 +83,25 @@ def release_scratch(spark: SparkSession) -> None:
         drop_path(spark, path)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, free: Callable[[], None]) -> None:
+    """Say, in a worker, how to free what ``module`` keeps from one task to the next."""
+    _kept[module] = free
+
+
+def _tidy(module: str) -> None:
+    """Free what other modules keep in this worker, and give unused memory back to the system."""
+    for other in [m for m in _kept if m != module]:
+        _kept.pop(other)()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` whose function yields dicts of equally long columns; ``schema`` is Spark DDL."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,8 +113,10 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     arrow = to_arrow_schema(fields)
 
     def run(batches):
+        _tidy(rows.__module__)
         for out in rows(batches):
             yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        _tidy(rows.__module__)
 
     return df.mapInArrow(run, fields)
 
