@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _sent: dict[str, str] = {}
+_one_at_a_time = threading.Lock()
 
 
 def send(spark: SparkSession) -> None:
     """Once an application."""
-    context = spark.sparkContext
-    if _sent.get("to") != context.applicationId:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="dumploom-code-")) / "dumploom_engine.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for f in sorted(root.rglob("*.py")):
-                out.write(f, f.relative_to(root.parent).as_posix())
-        context.addPyFile(str(target))
-        _sent["to"] = context.applicationId
+    with _one_at_a_time:  # tables load in threads
+        context = spark.sparkContext
+        if _sent.get("to") != context.applicationId:
+            root = Path(__file__).resolve().parents[1]
+            target = Path(tempfile.mkdtemp(prefix="dumploom-code-")) / "dumploom_engine.zip"
+            with zipfile.ZipFile(target, "w") as out:
+                for f in sorted(root.rglob("*.py")):
+                    out.write(f, f.relative_to(root.parent).as_posix())
+            context.addPyFile(str(target))
+            _sent["to"] = context.applicationId
