@@ -2,15 +2,15 @@
 
 Records are ordered by the hash of their text (equal texts stand together) and cut into many
 small ranges at quantiles of a size-weighted key sample. Exact sizes of the ranges come from
-one aggregation; a range that turns out overfull is cut again at its own sample's quantiles. A
-group of equal texts too large for a range is a range of its own, and one larger than its fair
-part of a shard is subdivided by the hash of its ids. Large items then go, largest first, to
+one aggregation; a range that turns out overfull is cut again at its own sample's quantiles,
+until none is. A group of equal texts too large for a range, by bytes or by rows, has ranges of
+its own: one larger than a shard, or of too many rows, is subdivided by the hash of its ids. Large items then go, largest first, to
 the emptiest shard, and runs of ordinary ranges fill the shards up in key order, so that sizes
 (the ``bytes`` law) come out near equal; equal texts share a shard unless their group itself
 exceeds one.
 
 What reaches the driver is one entry a range (rows / ``rows_per_range``, as little as a few MB
-for billions of rows) and at most shards / ``large_share`` large groups.
+for billions of rows) and fewer large groups than shards / ``large_share`` and two a range.
 
 Edge cases: null is a text of no bytes (size 16); null ids have one hash; rows equal in id and
 text share a subdivision; no rows: no shards; fewer rows than shards leave shards empty.
@@ -19,6 +19,7 @@ text share a subdivision; no rows: no shards; fewer rows than shards leave shard
 from __future__ import annotations
 
 import heapq
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,10 +50,11 @@ def _records(docs: DataFrame) -> DataFrame:
     )
 
 
-def _sampled(groups: DataFrame, step: float, salt: int) -> list[int]:
-    """Keys drawn with a chance of size / step each, in order."""
+def _sampled(groups: DataFrame, step: float, params: ShardParams, salt: int) -> list[int]:
+    """Keys in order, about ``samples_per_range`` for each range's worth of bytes or, if that is more, of rows."""
+    chance = F.greatest(F.col("bytes") / F.lit(step), F.col("n") / F.lit(params.rows_per_range)) * params.samples_per_range
     draw = (F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    return sorted(r.key for r in groups.where(draw < F.col("bytes") / F.lit(step)).select("key").collect())
+    return sorted(r.key for r in groups.where(draw < chance).select("key").collect())
 
 
 def _range_of(rows: DataFrame, splitters: np.ndarray, keep: tuple[str, ...], pieces: dict[int, tuple[int, int]]) -> DataFrame:
@@ -91,11 +93,12 @@ def assign(docs: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     fair = max(total / params.shards, 1.0)
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
-    large = {r.key: (r.bytes, r.n) for r in groups.where(F.col("bytes") >= params.large_share * fair).collect()}
-    small = groups.where(F.col("bytes") < params.large_share * fair)
     n_ranges = max(params.shards * params.ranges_per_shard, -(-n_rows // params.rows_per_range))
     step = max(total / n_ranges, 1.0)
-    sample = _sampled(small, step / params.samples_per_range, 3)
+    is_large = (F.col("bytes") >= min(params.large_share * fair, step)) | (F.col("n") > params.rows_per_range)
+    large = {r.key: (r.bytes, r.n) for r in groups.where(is_large).collect()}
+    small = groups.where(~is_large)
+    sample = _sampled(small, step, params, 3)
     splitters = np.unique(np.array(sample[params.samples_per_range :: params.samples_per_range], np.int64))
 
     pieces, number = {}, 1 << 40  # ranges of large groups are numbered apart
@@ -103,16 +106,18 @@ def assign(docs: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
         n_pieces = max(1 if size <= fair else int(np.ceil(size / fair * params.ranges_per_shard)), -(-n // params.rows_per_range))
         pieces[key] = (number, n_pieces)
         number += n_pieces
-    for salt in range(4, 12):
-        placed = _range_of(rows, splitters, ("key", "spread", "size"), pieces)
-        sizes = _measure(placed)
+    for salt in itertools.count(4):  # a small group is at most a range, so that an overfull range holds several and each round cuts one at least
+        sizes = _measure(_range_of(rows, splitters, ("key", "spread", "size"), pieces))
         over = sorted(p for p, (size, n) in sizes.items() if p < 1 << 40 and (size > 3 * step or n > 3 * params.rows_per_range))
         if not over:
             break
         wide = spark.createDataFrame([(p,) for p in over], "part long")
-        inside = _range_of(small.withColumn("spread", F.lit(0).cast("long")), splitters, ("key", "bytes", "spread"), {}).join(wide, "part", "left_semi")
-        more = _sampled(inside, step / params.samples_per_range, salt)
-        merged = np.unique(np.concatenate([splitters, np.array(more[params.samples_per_range // 2 :: params.samples_per_range], np.int64)]))
+        inside = _range_of(small.withColumn("spread", F.lit(0).cast("long")), splitters, ("key", "bytes", "n", "spread"), {}).join(wide, "part", "left_semi")
+        more = _sampled(inside, step, params, salt)[params.samples_per_range // 2 :: params.samples_per_range]
+        merged = np.union1d(splitters, np.array(more, np.int64))
+        if len(merged) == len(splitters):  # the draw had too few
+            last = [r.key for r in inside.groupBy("part").agg(F.max("key").alias("key")).collect()]  # at most one a range
+            merged = np.union1d(splitters, np.array(last, np.int64))
         if len(merged) == len(splitters):
             break
         splitters = merged
