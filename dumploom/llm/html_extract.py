@@ -1,10 +1,12 @@
 """Main-text extraction by consensus host paths.
 
-Pages of one host share templates. Each page scores its containers (text in them, less what
-lies in menus, links and other furniture), and votes for the generalised tag-class path of the
-best: tags with their classes, numbers in classes made alike. Spark sums the votes of a host;
-every page is then read again and its text is taken from the elements at the winning path, or
-from its own best container where it has none there.
+Pages of one host share templates. Each page looks for the container with the most text that is
+neither furniture (menus, adverts, comments) nor links, an article counting half more, goes inwards
+while nothing but furniture and links stays outside, and votes for the generalised tag-class path
+of what it finds: tags with their classes, numbers in classes made alike. Spark sums the votes of
+a host; every page is then read again and its text is taken from the elements at the winning path,
+or from its own best container where it has none there. Headings and paragraphs that stand beside
+such an element, in a container inside the body, are taken with it.
 
 Edge cases: null or empty html gives an empty text of 0 characters; a null or relative url has
 no host, and such a page uses its own best container; unclosed and cut-off markup is read as far
@@ -50,8 +52,10 @@ class Node:
     path: str
     parent: Node | None
     furniture: bool
-    good: int = 0  # characters of article text under it
-    bad: int = 0  # characters of links and furniture under it
+    good: int = 0  # characters under it in blocks that are not mostly links
+    links: int = 0  # characters under it in blocks that are; furniture counts in neither
+    loose: int = 0  # of ``good``, what is in no container inside it
+    text: int = 0  # ``good`` without lists of links
     children: list[Node] = field(default_factory=list)
 
 
@@ -67,7 +71,7 @@ def _names(attributes: str) -> tuple[list[str], bool]:
 
 
 def parse(html: str):
-    """(nodes in page order, blocks): a block is its node and its text, white space made single."""
+    """(nodes in page order, the first stands for the page, blocks): a block is its node and its text, white space made single."""
     root = Node("", "", None, False)
     stack, nodes, blocks, text, at, links = [root], [root], [], [], 0, 0
 
@@ -78,10 +82,12 @@ def parse(html: str):
                 linked = sum(len(t) for t, is_link in text if is_link)
                 node, size = stack[-1], len(line)
                 blocks.append((node, line))
-                bad = size if node.furniture else min(size, linked)
-                while node is not None:
-                    node.good += size - bad
-                    node.bad += bad
+                prose = 2 * linked < size
+                if prose:
+                    _container(node).loose += size
+                while node is not None and not node.furniture:
+                    node.good += size if prose else 0
+                    node.links += 0 if prose else size
                     node = node.parent
             text.clear()
 
@@ -131,23 +137,46 @@ def parse(html: str):
     return nodes, blocks
 
 
-def score(node: Node) -> float:
-    return (node.good - 2.0 * node.bad) * (1.5 if node.tag in ARTICLES else 1.0)
+def _container(node: Node) -> Node:
+    """The innermost container around ``node`` or itself, at last the page."""
+    while node.parent is not None and node.tag not in CONTAINERS:
+        node = node.parent
+    return node
 
 
-def best_container(nodes: list[Node], narrow: float = 0.7) -> Node:
-    """The container of the highest score; then inwards, while a child keeps most of it."""
-    fit = [n for n in nodes if n.tag in CONTAINERS and not n.furniture] or nodes[:1]
-    top = max(fit, key=score)
-    while deeper := [n for n in top.children if n.tag in CONTAINERS and not n.furniture and score(n) >= narrow * max(score(top), 1)]:
-        top = max(deeper, key=score)
+def _whole(node: Node) -> Node:
+    """``node``, or a container around it, inside the body, in which headings and paragraphs stand beside it."""
+    around = node
+    while around.parent is not None:
+        around = _container(around.parent)
+        if around.tag in ("", "html", "body") or around.furniture:
+            break
+        if around.loose:
+            node = around
+    return node
+
+
+def _lists_links(node: Node, good: int) -> bool:
+    """Whether it is mostly links and holds less than a tenth of the page's ``good``."""
+    return node.tag in CONTAINERS and node.links > node.good and node.good < 0.1 * good
+
+
+def best_container(nodes: list[Node]) -> Node:
+    """The container of most text; then inwards, while all of it is in one child."""
+    for n in reversed(nodes):  # children first
+        held = [c for c in n.children if not c.furniture]
+        n.text = n.good - sum(c.good if _lists_links(c, nodes[0].good) else c.good - c.text for c in held)
+    fit = [n for n in nodes if (n.tag in CONTAINERS or n.parent is None) and not n.furniture]
+    top = at = _whole(max(fit, key=lambda n: n.text * (1.5 if n.tag in ARTICLES else 1.0)))
+    while at := next((c for c in at.children if 0 < c.text == at.text and not c.furniture), None):
+        top = at if at.tag in CONTAINERS else top
     return top
 
 
 def extract(html: str, path: str | None) -> str:
     """The blocks under the elements at ``path``, or under the page's best container, one a line."""
     nodes, blocks = parse(html)
-    inside = {id(n) for n in nodes if n.path == path and not n.furniture} if path else set()
+    inside = {id(_whole(n)) for n in nodes if n.path == path and not n.furniture} if path else set()
     if not inside:
         inside = {id(best_container(nodes))}
 

@@ -4,7 +4,40 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from dumploom.llm import shards
+from dumploom.llm import html_extract, shards
+
+
+# 2
+
+NAV, BODY = '<nav><a href="/">Home</a></nav>', "<p>" + "body text " * 78 + "</p>"
+NESTED = {
+    "lead": f"<body>{NAV}<div class=post><h1>Title</h1><p>{'lead ' * 40}</p><div class=body>{BODY}</div></div><footer>z</footer>",
+    "head": f"<body>{NAV}<div class=post><div class=top><h1>Title</h1><p>{'lead ' * 40}</p></div><div class=body>{BODY}</div></div>",
+    "comments": f"<body>{NAV}<article><h1>Title</h1><p>{'lead ' * 38}</p><section>{BODY}</section><div class=comments>{'<p>so true</p>' * 40}</div></article>",
+    "advert": f"<body><article><section>{BODY}</section><p>{'end ' * 50}</p><div class=ad>{'buy ' * 80}</div></article>",
+    "links": f"<body><div class=post><h1>Title</h1><div class=body>{BODY}</div></div><div class=more><h3>More</h3>{'<p><a href=x>another page</a></p>' * 40}</div>",
+    "article": f"<body>{NAV}<div class=post><h1>Title</h1><p>lead</p><article>{BODY}</article></div>",
+    "two": f"<body>{NAV * 90}<div class=a>{BODY}</div><div class=b><p>{'rest ' * 150}</p></div>",
+    "bare": f"<h1>Title</h1>{BODY}",
+    "table": f"<body><table><tr><td class=m><a href=/>Home</a><td><h1>Title</h1>{BODY}</table>",
+    "plain": "no markup at all",
+}
+
+
+def test_extraction_keeps_text_outside_the_largest_child(spark):
+    want = {
+        "lead": ["Title", "lead " * 40, "body text " * 78], "head": ["Title", "lead " * 40, "body text " * 78], "comments": ["Title", "lead " * 38, "body text " * 78],
+        "advert": ["body text " * 78, "end " * 50], "links": ["Title", "body text " * 78], "article": ["Title", "lead", "body text " * 78],
+        "two": ["body text " * 78, "rest " * 150], "bare": ["Title", "body text " * 78], "table": ["Title", "body text " * 78], "plain": ["no markup at all"],
+    }
+    rows = [(f"{k} {i}", f"http://{k}.org/{i}" if i else None, page) for k, page in NESTED.items() for i in range(2)]
+    # Of a host, most pages have no lead: their path leaves none out elsewhere.
+    bare = f"<body>{NAV}<div class=post><div class=body>{BODY}</div></div>"
+    rows += [("mixed", "http://mixed.org/0", NESTED["lead"])] + [(f"bare {i}", f"http://mixed.org/{i}", bare) for i in range(2, 6)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for k, lines in want.items():
+        assert got[f"{k} 0"] == got[f"{k} 1"] == "\n".join(x.strip() for x in lines), k
+    assert got["mixed"] == got["lead 0"] and got["bare 2"] == ("body text " * 78).strip()
 
 
 # 6
