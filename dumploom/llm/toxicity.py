@@ -11,8 +11,8 @@ hinge) is trained on sentences: labels belong to texts, so each positive text st
 toxic sentence, chosen anew between fits. A logistic curve over a text's worst
 sentences and its length, fitted on the training texts, turns margins into scores.
 
-Learning uses a bounded sample of labelled rows (``most_positive``, ``most_negative``); scoring is
-one narrow pass over whole texts.
+Learning uses a bounded sample of different labelled texts (``most_positive``, ``most_negative``);
+scoring is one narrow pass over whole texts.
 
 Edge cases: null and empty texts score as a sentence without any similarity; without
 labelled rows of both kinds every text scores the share of label 1 (0 without labels); repeated
@@ -31,7 +31,7 @@ from unicodedata import normalize
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map, remainder
+from dumploom.llm.common import arrow_map, materialize, remainder
 
 OFFSETS = tuple((a, b) for a, b in combinations(range(1, 5), 2))  # of a subsequence's second and third characters
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "@": "a", "$": "s"}
@@ -265,19 +265,30 @@ def fit_curve(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return w
 
 
+def text_key() -> F.Column:
+    """By which texts are sampled and told apart."""
+    return F.xxhash64(F.col("text").cast("string"), F.lit(9))
+
+
 def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Learn from ``labelled`` (text, label 0 or 1)."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """Learn from ``labelled`` (text, label 0 or 1; its ``key``, if there, is ``text_key``). Copies of a text count once a label."""
+    key = F.col("key") if "key" in labelled.columns else text_key()
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"), key.alias("key"))
+    rows = rows.where("text is not null and label in (0, 1)")
+    distinct = rows.groupBy("label", "key").agg(F.count("*").alias("n")).groupBy("label").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    sizes = {r.label: (r.texts, r.n) for r in distinct.collect()}
     empty = np.zeros((0, 0), np.float32)
-    share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
+    share = sizes[1][1] / sum(n for _, n in sizes.values()) if 1 in sizes else 0.0
     constant = ToxicityModel(np.zeros(0, np.int16), empty, empty, np.zeros(1), np.array([share]), params)
     if len(sizes) < 2:
         return constant
-    most = F.when(F.col("label") == 1, params.most_positive / sizes[1]).otherwise(params.most_negative / sizes[0])
-    draw = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(draw < most).dropDuplicates(["text", "label"])
-    marks = pick_landmarks(sample, sizes={k: max(1, min(n, params.most_positive if k else params.most_negative)) for k, n in sizes.items()}, params=params)
+    most = {0: params.most_negative / sizes[0][0], 1: params.most_positive / sizes[1][0]}
+    draw = F.pmod("key", F.lit(1 << 20)) / float(1 << 20)
+    drawn = rows.where(draw < max(most.values()))  # of the texts alone, so it comes before a join with labels
+    drawn = drawn.where(draw < F.when(F.col("label") == 1, most[1]).otherwise(most[0]))
+    sample = materialize(drawn.select("text", "label").dropDuplicates(), "toxicity-sample")
+    taken = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    marks = pick_landmarks(sample, sizes={k: max(1, taken.get(k, 0)) for k in (0, 1)}, params=params)
     if not marks:
         return constant
     model = _with_landmarks(marks, params)
@@ -353,10 +364,10 @@ def predict(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of rows that may be learned from: crc32 of the id modulo 3 is not 1 (nor is the id null)."""
+    """text, its key and label of rows that may be learned from: crc32 of the id modulo 3 is not 1 (nor is the id null)."""
     marks = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1))
     marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    return docs.join(marks, docs["doc_id"] == marks["_id"]).select("text", "label")
+    return docs.withColumn("key", text_key()).join(marks, F.col("doc_id") == F.col("_id")).select("text", "key", "label")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
