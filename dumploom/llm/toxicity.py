@@ -50,7 +50,7 @@ class ToxicityParams:
     odds: float = 3.0  # and this many times (log) likelier in them
     decay: float = 0.8
     least: float = 0.45
-    sentences: int = 8  # of a text, those with the largest similarities
+    sentences: int = 8  # of a training text, those with the largest similarities; scoring takes all
     cost: float = 50.0
     rounds: int = 4
 
@@ -158,11 +158,12 @@ def sentence_rows(model: ToxicityModel, texts: list[str]):
 
 
 def evidence(model: ToxicityModel, rows: np.ndarray, length: int) -> list[float]:
-    """A text's margin (its worst sentence), that of the next worst, the worst sentences beyond 0, and its length; by ``params.sentences``."""
+    """A text's margin (its worst sentence), that of the next worst, the sentences beyond 0, and its length; all sentences are looked at."""
     w, bias = model.machine[:-1], model.machine[-1]
-    top = np.sort((worst(rows, model.params.sentences) @ model.whiten @ w) + bias)[::-1] if len(rows) else np.zeros(0)
-    top = np.maximum(np.append(top, (bias, bias)), bias)
-    return [float(top[0]), float(top[1]), float(np.log1p((top > 0).sum())), float(np.log1p(length / 1000))]
+    margins = rows @ (model.whiten @ w) + bias if len(rows) else np.zeros(0)
+    top = np.maximum(np.append(np.sort(margins)[::-1][:2], (bias, bias)), bias)
+    beyond = (margins > 0).sum() + 2 * (bias > 0)
+    return [float(top[0]), float(top[1]), float(np.log1p(beyond)), float(np.log1p(length / 1000))]
 
 
 def worst(rows: np.ndarray, n: int) -> np.ndarray:
@@ -298,9 +299,9 @@ def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Toxic
         for batch in batches:
             labels, texts = batch.column("label").to_pylist(), batch.column("text").to_pylist()
             best = [worst(r, params.sentences).astype(np.float32).ravel().tolist() for r in _in_groups(shared.value, texts)]
-            yield {"label": labels, "rows": best, "size": [len(t) for t in texts]}
+            yield {"label": labels, "rows": best}
 
-    got = arrow_map(sample, features, "label int, rows array<float>, size long").collect()  # bounded by the sample
+    got = arrow_map(sample, features, "label int, rows array<float>").collect()  # bounded by the sample
     label = np.array([r.label for r in got])
     kernel = [np.array(r.rows, np.float64).reshape(-1, len(marks)) for r in got]
     kernel = [k if len(k) else np.zeros((1, len(marks))) for k in kernel]
@@ -320,8 +321,16 @@ def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Toxic
             break
         witness = now
     trained = replace(model, machine=w)
-    known = np.array([evidence(trained, k, r.size) for k, r in zip(kernel, got, strict=True)])
-    return replace(trained, curve=fit_curve(known, label.astype(float)))
+    shared_machine = sample.sparkSession.sparkContext.broadcast(trained)
+
+    def evidences(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [evidence(shared_machine.value, r, len(t)) for r, t in zip(_in_groups(shared_machine.value, texts), texts, strict=True)]
+            yield {"label": batch.column("label"), "known": found}
+
+    known = arrow_map(sample, evidences, "label int, known array<double>").collect()  # bounded by the sample
+    return replace(trained, curve=fit_curve(np.array([r.known for r in known]), np.array([float(r.label) for r in known])))
 
 
 def _in_groups(model: ToxicityModel, texts: list[str | None]):

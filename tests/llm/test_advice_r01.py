@@ -73,3 +73,12 @@ def test_toxicity_with_many_copies(spark):
     bad = toxicity.scores(model, [f"{say(10)}. {say(3)} {w} {say(3)}." for w in insults])
     good = toxicity.scores(model, [f"{say(20)}." for _ in range(10)])
     assert bad.min() > 0.5 > good.max()
+
+
+def test_toxicity_evidence_takes_every_sentence():
+    """A clear insult among many sentences near several weak landmarks; all sentences beyond 0 are counted."""
+    model = toxicity.ToxicityModel(np.zeros(0, np.int16), np.ones((1, 3), np.float32), np.eye(3), np.array([2.0, 0.2, 0.2, -1.0]), np.zeros(5), toxicity.ToxicityParams())
+    weak, insult = np.array([[0.0, 0.9, 0.9]] * 12, np.float32), np.array([[1.0, 0.0, 0.0]], np.float32)
+    assert np.allclose(toxicity.evidence(model, np.vstack([weak, insult, weak]), 1000)[:3], [1.0, 0.36 - 1, np.log1p(1)])
+    assert np.allclose(toxicity.evidence(model, np.repeat(insult, 20, axis=0), 1000)[:3], [1.0, 1.0, np.log1p(20)])
+    assert np.allclose(toxicity.evidence(model, weak[:0], 1000)[:3], [-1.0, -1.0, 0.0])
