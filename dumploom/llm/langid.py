@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map, mix64, remainder
+from dumploom.llm.common import arrow_map, materialize, mix64, remainder
 
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
@@ -28,7 +28,7 @@ BLOCK = 1 << 20  # symbols handled at once
 
 @dataclass(frozen=True)
 class LanguageParams:
-    #: About so many labelled texts a language are learned from; the counts are spread over the executors.
+    #: About so many different labelled texts a language are learned from; the counts are spread over the executors.
     sample_per_language: int = 3000
     #: n-grams rarer than this share of a language's n-grams of that order are left out, so a
     #: language adds at most 1 / min_share of each order, whatever the corpus.
@@ -120,17 +120,19 @@ def _counts(batches):
 
 
 def fit(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Learn from ``labelled`` (text, lang); null texts or languages teach nothing. At most 64 languages."""
+    """Learn from ``labelled`` (text, lang); null texts or languages teach nothing, copies once a language. At most 64 languages."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
+    key = F.xxhash64("text")
+    distinct = rows.select("lang", key.alias("key")).distinct()
+    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
     if len(sizes) > 64:
         raise ValueError("a mask holds at most 64 languages")
     if not sizes:
         return LanguageModel((), np.zeros(1, np.uint8), np.zeros(0), params.hashes, params.sharpness)
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, params.sample_per_language / n))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(draw < rate[F.col("lang")])
+    draw = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
+    sample = materialize(rows.where(draw < rate[F.col("lang")]).dropDuplicates(), "language-sample")
     counted = arrow_map(sample, _counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = F.create_map(*[F.lit(x) for x in _totals(sample).items() for x in x])
     common = counted.where((F.col("n") >= params.min_count) & (F.col("n") >= total[F.col("lang")] * params.min_share))

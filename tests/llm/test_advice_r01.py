@@ -6,7 +6,21 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from dumploom.llm import html_extract, shards, toxicity
+from dumploom.llm import html_extract, langid, shards, toxicity
+
+
+# 1
+
+
+def test_language_with_a_drawn_hot_text(spark):
+    """Copies of one text neither fill the sample nor raise what other n-grams need to be learned."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(4, 8))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    hot = spark.range(4000).select(F.concat(F.lit("xyz zyx wvu " * 100), "id").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < 1000).first().text
+    docs = spark.createDataFrame([(hot, "xx")] * 6000 + [(say(12), "xx") for _ in range(3000)], "text string, lang string")
+    model = langid.fit(docs, langid.LanguageParams(sample_per_language=200))
+    assert langid.score_text(model, say(200))[2] > 0.9
 
 
 # 2
