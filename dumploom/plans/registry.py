@@ -222,6 +222,14 @@ def load_and_read(spark, sf_dir):
     return Table(f"{folder}/public/supplier").read(spark)
 
 
+def load_large(spark, sf_dir):
+    """A plain dump file of the largest table; over 16 MiB it is read in several ranges."""
+    folder = _folder(spark)
+    load_dump(spark, _dump_of(spark, sf_dir, folder, ["lineitem"]), folder)
+    rows = Table(f"{folder}/public/lineitem").read(spark)
+    return rows.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+
+
 def load_filtered(spark, sf_dir):
     folder = _folder(spark)
     dump = _dump_of(spark, sf_dir, folder, ["region", "nation"])
@@ -281,6 +289,7 @@ _ALL = _SELECT | {
     "max_rows_per_block": (first_rows, 'SELECT "table", line_no FROM (SELECT l_returnflag AS "table", l_orderkey * 10 + l_linenumber AS line_no, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) WHERE r <= 5'),
     "audit_shared_tokens": (audit, "SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_.@-]{8,}')) AS token FROM benchmark) WHERE regexp_matches(token, '[^0-9]') AND token IN (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_.@-]{8,}')) FROM documents)"),
     "load_and_read": (load_and_read, "SELECT * FROM supplier"),
+    "load_large": (load_large, "SELECT * FROM lineitem"),
     "load_filtered": (load_filtered, "SELECT 'public.nation' AS name, count(*) AS n_rows FROM nation UNION ALL SELECT 'missing public.gone', 0"),
     "load_append": (load_append, "SELECT * FROM nation UNION ALL SELECT * FROM nation"),
     "time_travel": (time_travel, "SELECT 0 AS version, 0::BIGINT AS n_rows UNION ALL SELECT 1, count(*) FROM nation UNION ALL SELECT 2, count(*) FROM nation WHERE n_regionkey = 1"),
