@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -25,17 +26,44 @@ def fail(name: str, **details) -> Column:
     return F.raise_error(F.concat(*parts, F.lit("}")))
 
 
-def fields(line: Column, expected: int, limits: Limits = Limits()) -> Column:
-    """The raw fields of a row (one trailing CR dropped), their number and sizes checked."""
-    row = F.when(F.endswith(line, F.lit("\r")), F.regexp_replace(line, "\r\\z", "")).otherwise(line)
-    parts = F.split(row, "\t", -1)
-    checked = F.when(F.octet_length(row) > limits.max_row_bytes, fail("RowTooLarge", len=F.octet_length(row), limit=limits.max_row_bytes))
-    checked = checked.when(F.size(parts) > limits.max_columns, fail("TooManyColumns", count=F.size(parts), limit=limits.max_columns))
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once. It is evaluated as a tree, outside generated code, which keeps rare and long
+    expressions from making the generated methods too large to be compiled to machine code."""
+    return F.transform(F.array(value), then)[0]
+
+
+def whole_row(line: Column) -> Column:
+    """The row without its trailing CR, if it has one."""
+    return F.when(F.endswith(line, F.lit("\r")), F.left(line, F.length(line) - 1)).otherwise(line)
+
+
+def split_row(row: Column) -> Column:
+    return F.split(row, "\t", -1)
+
+
+def checked(row: Column, parts: Column, value: Column, expected: int, limits: Limits = Limits(), texts: Sequence[tuple[int, str]] = ()) -> Column:
+    """``value`` (text or array) of a row whose number of fields and sizes are as they should be; else the load fails.
+
+    Fields in ``texts`` (place, column) must be UTF-8, which a split would hide.
+    """
+    kind = lambda c: c.cast("array<string>") if value is parts else c.cast("string")
+    out = F.when(F.octet_length(row) > limits.max_row_bytes, kind(fail("RowTooLarge", len=F.octet_length(row), limit=limits.max_row_bytes)))
+    out = out.when(F.size(parts) > limits.max_columns, kind(fail("TooManyColumns", count=F.size(parts), limit=limits.max_columns)))
     if limits.max_field_bytes < limits.max_row_bytes:
         large = F.filter(F.transform(parts, F.octet_length), lambda n: n > limits.max_field_bytes)
-        checked = checked.when((F.octet_length(row) > limits.max_field_bytes) & (F.size(large) > 0), fail("FieldTooLarge", len=large[0], limit=limits.max_field_bytes))
-    checked = checked.when(F.size(parts) != expected, fail("FieldCountMismatch", found=F.size(parts), expected=expected))
-    return F.coalesce(checked.cast("array<string>"), parts)
+        out = out.when((F.octet_length(row) > limits.max_field_bytes) & (F.size(large) > 0), kind(fail("FieldTooLarge", len=large[0], limit=limits.max_field_bytes)))
+    out = out.when(F.size(parts) != expected, kind(fail("FieldCountMismatch", found=F.size(parts), expected=expected)))
+    if texts:
+        raw = F.transform(F.split(F.decode(row.cast("binary"), "ISO-8859-1"), "\t", -1), lambda p: F.encode(p, "ISO-8859-1").cast("string"))
+        names = F.array(*[F.when(~F.is_valid_utf8(raw[i]), F.lit(json.dumps(name))) for i, name in texts])
+        bad = F.filter(names, lambda n: n.isNotNull())
+        out = out.when(~F.is_valid_utf8(row), F.when(F.size(bad) > 0, kind(fail("NonUtf8Text", column=bad[0]))).otherwise(value))
+    return out.otherwise(value)
+
+
+def fields(line: Column, expected: int, limits: Limits = Limits()) -> Column:
+    """The raw fields of a row, checked."""
+    return let(split_row(whole_row(line)), lambda parts: checked(whole_row(line), parts, parts, expected, limits))
 
 
 #: One token of an escaped field: a hexadecimal, octal or other escape, plain text, or a faulty end.
@@ -63,22 +91,29 @@ def unescape(field: Column) -> Column:
     return F.when(F.contains(field, F.lit("\\")), joined).otherwise(field.cast("binary"))
 
 
-def text(field: Column, column: str) -> Column:
-    r"""The field's text: ``\N`` is null, escapes are undone, bytes must be UTF-8."""
-    plain = ~F.contains(field, F.lit("\\"))
-    raw = unescape(field).cast("string")
-    value = F.when(plain, field).otherwise(raw)
-    checked = F.when(F.is_valid_utf8(value), value).otherwise(fail("NonUtf8Text", column=column).cast("string"))
-    return F.when(field == "\\N", F.lit(None).cast("string")).otherwise(checked)
+def text(field: Column, column: str, checked: bool = True) -> Column:
+    r"""The field's text: ``\N`` is null, escapes are undone; if ``checked``, bytes must be UTF-8."""
+
+    def valid(value: Column) -> Column:
+        return F.when(F.is_valid_utf8(value), value).otherwise(fail("NonUtf8Text", column=column).cast("string")) if checked else value
+
+    escaped = F.when(field != "\\N", valid(unescape(field).cast("string")))
+    return F.when(F.contains(field, F.lit("\\")), escaped).otherwise(valid(field))
+
+
+#: What ``escape`` has to look for.
+SPECIAL = "[\\\\\x08\f\n\r\t\x0b]"
 
 
 def escape(value: Column) -> Column:
     r"""The inverse of ``text``, for writing COPY rows: null is ``\N``."""
-    out = value.cast("string")
-    for plain, mark in (("\\", "\\\\"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\x0b", "\\v")):
-        out = F.replace(out, F.lit(plain), F.lit(mark))
-    return F.coalesce(out, F.lit("\\N"))
+    out = plain = value.cast("string")
+    for sign, mark in (("\\", "\\\\"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\x0b", "\\v")):
+        out = F.replace(out, F.lit(sign), F.lit(mark))
+    return F.coalesce(F.when(plain.rlike(SPECIAL), out).otherwise(plain), F.lit("\\N"))
 
 
-def render_row(*values: Column) -> Column:
-    return F.concat_ws("\t", *[escape(v) for v in values])
+def render_row(*values: Column, plain: Sequence[bool] = ()) -> Column:
+    """A row; values that are ``plain`` hold nothing that needs an escape."""
+    flags = plain or [False] * len(values)
+    return F.concat_ws("\t", *[F.coalesce(v, F.lit("\\N")) if p else escape(v) for v, p in zip(values, flags, strict=True)])

@@ -7,9 +7,11 @@ contradicts its type raises UnparsableValue with the column and the type's name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
 
-from dumploom.functions.copytext import fail, unescape
+from pyspark.sql import Column, SparkSession, functions as F
+
+from dumploom.functions.copytext import fail, let, unescape
 from dumploom.functions.pgtypes import PgType, spark_type
 
 DAY = 86_400_000_000
@@ -23,22 +25,39 @@ def _valid(text: Column, ok: Column, value: Column, column: str, expected: str,
     return F.when(text.isNull(), F.lit(None).cast(kind)).otherwise(F.coalesce(found, bad))
 
 
+def _either(text: Column, plain: str, fast: Column, full: Callable[[Column], Column]) -> Column:
+    """``fast`` for texts of the usual form ``plain``, for which it must have the value that ``full`` has; ``full`` for all others.
+
+    One match and one cast decide nearly every row; the long expression is no part of the generated code.
+    """
+    return F.when(text.rlike(plain), fast).when(text.isNotNull(), let(text, full))
+
+
 def _number(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
 def parse_integer(text: Column, column: str, kind: str) -> Column:
     name = {"smallint": "smallint", "integer": "int", "bigint": "bigint"}[kind]
-    value = _number(text)
-    return _valid(text, value.rlike(r"^[+-]?[0-9]+\z"), value.try_cast(name), column, kind, name)
+    plain = text.try_cast(name)
+
+    def full(t: Column) -> Column:
+        return _valid(t, _number(t).rlike(r"^[+-]?[0-9]+\z"), _number(t).try_cast(name), column, kind, name)
+
+    # A number written the usual way is its own text again, which is cheaper to see than a match.
+    return F.when(plain.cast("string") == text, plain).when(text.isNotNull(), let(text, full))
 
 
 def parse_float(text: Column, column: str, kind: str) -> Column:
     name = "float" if kind == "real" else "double"
-    value = F.lower(_number(text))
-    ok = value.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?\z|^[+-]?(inf|infinity|nan)\z")
-    special = F.when(value.rlike("nan"), F.lit("NaN")).when(value.rlike("inf"), F.when(F.startswith(value, F.lit("-")), F.lit("-Infinity")).otherwise(F.lit("Infinity")))
-    return _valid(text, ok, F.coalesce(special, value).try_cast(name), column, kind, name)
+
+    def full(t: Column) -> Column:
+        value = F.lower(_number(t))
+        ok = value.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?\z|^[+-]?(inf|infinity|nan)\z")
+        special = F.when(value.rlike("nan"), F.lit("NaN")).when(value.rlike("inf"), F.when(F.startswith(value, F.lit("-")), F.lit("-Infinity")).otherwise(F.lit("Infinity")))
+        return _valid(t, ok, F.coalesce(special, value).try_cast(name), column, kind, name)
+
+    return _either(text, r"^-?[0-9]++(?:[.][0-9]++)?(?:[eE][+-]?[0-9]{1,3})?\z", text.try_cast(name), full)
 
 
 def parse_boolean(text: Column, column: str) -> Column:
@@ -46,23 +65,32 @@ def parse_boolean(text: Column, column: str) -> Column:
 
 
 def parse_numeric(text: Column, column: str, precision: int, scale: int) -> tuple[Column, Column]:
-    name, value = f"decimal({precision},{scale})", _number(text)
-    nan = value == "NaN"
-    ok = value.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)\z") & ~value.rlike(rf"[.][0-9]{{{scale}}}[0-9]*[1-9]")
-    # Surplus zeros are cut: a cast would round where the digits exceed what a decimal can hold.
-    cut = F.regexp_replace(value, rf"([.][0-9]{{{scale}}})0+\z", "$1")
-    plain = F.coalesce(nan, F.lit(False))
-    parsed = _valid(F.when(~plain, text), ok, cut.try_cast(name), column, "numeric", name)
-    return parsed, plain
+    name = f"decimal({precision},{scale})"
+    nan = F.coalesce(_number(text) == "NaN", F.lit(False))
+
+    def full(t: Column) -> Column:
+        value = _number(t)
+        ok = value.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)\z") & ~value.rlike(rf"[.][0-9]{{{scale}}}[0-9]*[1-9]")
+        # Surplus zeros are cut: a cast would round where the digits exceed what a decimal can hold.
+        cut = F.regexp_replace(value, rf"([.][0-9]{{{scale}}})0+\z", "$1")
+        return F.when(value != "NaN", _valid(t, ok, cut.try_cast(name), column, "numeric", name))
+
+    whole = precision - scale
+    form = "^-?" + (rf"[0-9]{{1,{whole}}}" if whole else "0") + (rf"(?:[.][0-9]{{1,{scale}}})?" if scale else "") + r"\z"
+    return _either(text, form, text.try_cast(name), full), nan
 
 
 def _infinite(text: Column) -> Column:
-    return F.coalesce(F.btrim(text, F.lit(BLANKS)).isin("infinity", "-infinity"), F.lit(False))
+    return F.coalesce(F.endswith(F.rtrim(text), F.lit("infinity")) & F.btrim(text, F.lit(BLANKS)).isin("infinity", "-infinity"), F.lit(False))
+
 
+def _groups(text: Column, form: str, n: int) -> Column:
+    """The groups 1 to ``n`` of a text that matches ``form``, by one match; empty where a group has none."""
+    return F.split(F.regexp_replace(text, form, "|".join(f"${i}" for i in range(1, n + 1))), "[|]", -1)
 
-def _date_days(text: Column, at: int, of: str) -> Column:
-    """Days since 1970 of the date in groups ``at`` of ``of``; days roll over the month's end."""
-    y, m, d, bc = (F.regexp_extract(text, of, at + k) for k in range(4))
+
+def _days(y: Column, m: Column, d: Column, bc: Column) -> Column:
+    """Days since 1970; days roll over the month's end."""
     year = y.try_cast("int")
     year = F.when(bc != "", 1 - year).otherwise(year)
     day = d.cast("int")
@@ -74,48 +102,69 @@ DATE = r"^([0-9]+)-([0-9]{2})-([0-9]{2})( BC)?\z"
 TIME = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.]([0-9]{1,6}))?)?"
 OFFSET = r"(?: ?([+-])([0-9]{1,2})(?::([0-9]{2}))?(?::([0-9]{2}))?)?"
 STAMP = rf"^([0-9]+)-([0-9]{{2}})-([0-9]{{2}})(?: {TIME}{OFFSET})?( BC)?\z"
+#: Usual forms, whose values the built-in casts have: four digits of a year, days that the month has every year, hours below 24, whole offsets.
+PLAIN_DATE = r"^(?!0000)[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+PLAIN_TIME = r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:[.][0-9]{1,6})?"
 
 
 def parse_date(text: Column, column: str) -> tuple[Column, Column]:
-    infinite, text = _infinite(text), _number(text)
-    days = F.when(text.rlike(DATE), _date_days(text, 1, DATE))
-    value = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
-    return _valid(F.when(~infinite, text), text.rlike(DATE), value, column, "date", "date"), infinite
+    def full(t: Column) -> Column:
+        value = _number(t)
+        days = F.when(value.rlike(DATE), let(_groups(value, DATE, 4), lambda g: _days(g[0], g[1], g[2], g[3])))
+        return F.when(~_infinite(t), _valid(t, value.rlike(DATE), F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")), column, "date", "date"))
+
+    return _either(text, PLAIN_DATE + r"\z", text.try_cast("date"), full), _infinite(text)
 
 
-def _micros(text: Column, of: str, at: int) -> Column:
-    """Microseconds of the time in groups ``at`` on; hours to 24 and seconds to 60 are taken."""
-    h, m, s, f = (F.regexp_extract(text, of, at + k) for k in range(4))
+def _micros(h: Column, m: Column, s: Column, f: Column) -> Column:
+    """Microseconds of a time; hours to 24 and seconds to 60 are taken."""
     second = F.when(s == "", 0).otherwise(s.try_cast("int"))
     ok = h.try_cast("int").between(0, 24) & m.try_cast("int").between(0, 59) & second.between(0, 60)
     whole = (h.try_cast("bigint") * 3600 + m.try_cast("bigint") * 60 + second) * 1_000_000 + F.rpad(f, 6, "0").try_cast("bigint")
     return F.when(ok, whole)
 
 
-def _offset(text: Column, of: str, at: int) -> Column:
-    sign, h, m, s = (F.regexp_extract(text, of, at + k) for k in range(4))
+def _offset(sign: Column, h: Column, m: Column, s: Column) -> Column:
     number = lambda x: F.when(x == "", 0).otherwise(x.try_cast("bigint"))
     size = (number(h) * 3600 + number(m) * 60 + number(s)) * 1_000_000
     return F.when(sign == "-", -size).otherwise(size)
 
 
 def parse_time(text: Column, column: str) -> Column:
-    of, text = rf"^{TIME}{OFFSET}\z", _number(text)
-    value = F.pmod(_micros(text, of, 1) - _offset(text, of, 5), F.lit(DAY))
-    return _valid(text, text.rlike(of), value, column, "time", "bigint")
+    form = rf"^{TIME}{OFFSET}\z"
+
+    def full(t: Column) -> Column:
+        value = _number(t)
+        micros = let(_groups(value, form, 8), lambda g: F.pmod(_micros(g[0], g[1], g[2], g[3]) - _offset(g[4], g[5], g[6], g[7]), F.lit(DAY)))
+        return _valid(t, value.rlike(form), F.when(value.rlike(form), micros), column, "time", "bigint")
+
+    plain = F.unix_micros(F.concat(F.lit("1970-01-01 "), text, F.lit("Z")).try_cast("timestamp"))
+    return _either(text, rf"^{PLAIN_TIME}\z", plain, full)
+
+
+def _session_is_utc() -> bool:
+    """Whether a cast without a zone means UTC; looking up a zone a row costs more than the rest of the cast."""
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone").upper() in ("UTC", "Z", "GMT", "ETC/UTC", "+00:00")
 
 
 def parse_timestamp(text: Column, column: str, zoned: bool) -> tuple[Column, Column]:
-    infinite, text = _infinite(text), _number(text)
-    y, m, d = (F.regexp_extract(text, STAMP, k) for k in (1, 2, 3))
-    date = F.concat(y, F.lit("-"), m, F.lit("-"), d, F.regexp_extract(text, STAMP, 12))
-    days = F.when(text.rlike(STAMP), _date_days(date, 1, DATE)).cast("bigint")
-    clock = F.when(F.regexp_extract(text, STAMP, 4) == "", F.lit(0).cast("bigint")).otherwise(_micros(text, STAMP, 4))
-    shift = _offset(text, STAMP, 8) if zoned else F.lit(0).cast("bigint")
-    plain = F.regexp_extract(text, STAMP, 8) == "" if not zoned else F.lit(True)
-    total = F.try_subtract(F.try_add(F.try_multiply(days, F.lit(DAY)), clock), shift)
-    value = F.timestamp_micros(total)
-    return _valid(F.when(~infinite, text), text.rlike(STAMP) & plain, value, column, "timestamp", "timestamp"), infinite
+    def total(g: Column) -> Column:
+        days = _days(g[0], g[1], g[2], g[11]).cast("bigint")
+        clock = F.when(g[3] == "", F.lit(0).cast("bigint")).otherwise(_micros(g[3], g[4], g[5], g[6]))
+        shift = _offset(g[7], g[8], g[9], g[10]) if zoned else F.when(g[7] == "", F.lit(0).cast("bigint"))  # a zone where none belongs has no value
+        return F.try_subtract(F.try_add(F.try_multiply(days, F.lit(DAY)), clock), shift)
+
+    def full(t: Column) -> Column:
+        value = _number(t)
+        found = F.timestamp_micros(F.when(value.rlike(STAMP), let(_groups(value, STAMP, 12), total)))
+        return F.when(~_infinite(t), _valid(t, value.rlike(STAMP), found, column, "timestamp", "timestamp"))
+
+    zone = r"[+-](?:0[0-9]|1[0-7])(?::[0-5][0-9])?" if zoned else ""
+    if not zoned and _session_is_utc():
+        return _either(text, f"{PLAIN_DATE} {PLAIN_TIME}\\z", text.try_cast("timestamp"), full), _infinite(text)
+    plain = F.concat(text, F.when(F.substring(text, -3, 1).isin("+", "-"), F.lit(":00")).otherwise(F.lit(""))) if zoned else F.concat(text, F.lit("Z"))
+    return _either(text, f"{PLAIN_DATE} {PLAIN_TIME}{zone}\\z", plain.try_cast("timestamp"), full), _infinite(text)
 
 
 def parse_bytea(raw: Column, column: str) -> Column:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dumploom.functions.copytext import Limits, fields, text
+from dumploom.functions.copytext import Limits, checked, split_row, text, whole_row
 from dumploom.functions.pgtypes import resolve, spark_type
 from dumploom.functions.values import parse
 
@@ -22,9 +22,14 @@ class Decoded:
 
 def decode(lines: DataFrame, columns: tuple[tuple[str, str], ...], *, wide_numeric: bool = False, native_arrays: bool = False, limits: Limits = Limits()) -> Decoded:
     """``lines`` (value: a raw row) by declared ``columns``; narrow, built-in expressions only."""
-    raw = lines.select(fields(F.col("value"), len(columns), limits).alias("_f"))
-    texts = raw.select(*[text(F.col("_f")[i], name).alias(f"_t{i}") for i, (name, _) in enumerate(columns)])
     types = [resolve(declared) for _, declared in columns]
+    as_text = [spark_type(t, wide_numeric, native_arrays).typeName() in ("string", "array") for t in types]
+    must = [(i, name) for i, (name, _) in enumerate(columns) if as_text[i]]
+    raw = lines.select(whole_row(F.col("value")).alias("_r")).select("_r", split_row(F.col("_r")).alias("_p"))
+    parts = [F.col("_p")[i] for i in range(len(columns))]
+    if parts:
+        parts[0] = checked(F.col("_r"), F.col("_p"), parts[0], len(columns), limits, must)
+    texts = raw.select(*[text(part, name, as_text[i]).alias(f"_t{i}") for i, (part, (name, _)) in enumerate(zip(parts, columns, strict=True))])
     out, flags = [], {}
     for i, ((name, _), t) in enumerate(zip(columns, types, strict=True)):
         value, lost = parse(F.col(f"_t{i}"), name, t, wide_numeric, native_arrays)

@@ -18,7 +18,12 @@ def quoted(name: str) -> str:
 
 def copy_lines(rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """``rows`` as COPY text, one line a row, in ``value``."""
-    return rows.select(render_row(*[_rendered(F.col(f"`{c}`"), t) for c, t in columns]).alias("value"))
+    plain = [t.startswith(PLAIN) and not t.endswith("]") for _, t in columns]
+    return rows.select(render_row(*[_rendered(F.col(f"`{c}`"), t) for c, t in columns], plain=plain).alias("value"))
+
+
+#: Declarations whose rendered values never need an escape.
+PLAIN = ("smallint", "integer", "bigint", "real", "double precision", "numeric", "boolean", "date", "timestamp", "time")
 
 
 def _rendered(value, declared: str):
