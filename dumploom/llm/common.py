@@ -7,14 +7,17 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Arrow batches handed to Python stay near this size whatever the length of a text.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 
 _live: list[str] = []
 _shipped: dict[str, str] = {}
@@ -45,9 +48,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose one machine is all there is, may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="dumploom-")
         spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext.getCheckpointDir():
@@ -66,7 +71,9 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -77,10 +84,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
         _live.remove(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table written so far; call once the results that read them are stored."""
-    for path in list(_live):
-        drop_path(spark, path)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made and that nothing will read again."""
+    for table in tables:
+        drop_path(table.sparkSession, table._scratch)
+
+
+def scratch_tables() -> list[str]:
+    """The scratch tables that were made and not deleted."""
+    return list(_live)
 
 
 _kept: dict[str, Callable[[], None]] = {}
@@ -102,14 +114,40 @@ def _tidy(module: str) -> None:
         pass
 
 
-def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose function yields dicts of equally long columns; ``schema`` is Spark DDL."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def named(column: str) -> F.Column:
+    """The column of that very name, dots and blanks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def carried(df: DataFrame, columns: list[str] | tuple[str, ...] | None = None) -> F.Column:
+    """``columns`` (or all) of ``df`` in one struct ``_row``, where no name of theirs can clash."""
+    return F.struct(*[named(c).alias(c) for c in (df.columns if columns is None else columns)]).alias("_row")
+
+
+def unpacked(kind: StructType, column: str = "_row") -> list[F.Column]:
+    """The columns that ``carried`` put away."""
+    return [F.col(column)[f.name].alias(f.name) for f in kind.fields]
+
 
+def with_cut_texts(rows: DataFrame, kind: StructType) -> DataFrame:
+    """The columns of ``kind`` out of ``_row``; where ``cut``, text is ``cut_text``, and n_chars, if there, its length."""
+    new = {"text": F.when(F.col("cut"), F.col("cut_text")).otherwise(F.col("_row")["text"].cast("string"))}
+    if "n_chars" in kind.names:
+        new["n_chars"] = F.when(F.col("cut"), F.length("cut_text")).otherwise(F.col("_row")["n_chars"])
+    return rows.select(*[new.get(f.name, F.col("_row")[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+
+def schema_of(rows: DataFrame, columns: list[str] | tuple[str, ...], more: str = "") -> StructType:
+    """The fields ``columns`` of ``rows``, then those of the DDL ``more``."""
+    extra = _parse_datatype_string(more).fields if more else []
+    return StructType([StructField(c, rows.schema[c].dataType) for c in columns] + extra)
+
+
+def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose function yields dicts of equally long columns; ``schema`` is Spark DDL or a type."""
     bound_batches(df.sparkSession)
     ship(df.sparkSession)
-    fields = _parse_datatype_string(schema)
+    fields = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(fields)
 
     def run(batches):
@@ -135,6 +173,44 @@ def text_bytes(column) -> F.Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+class RangeHash:
+    """62-bit hashes of any byte range of a text, from prefix sums: polynomials modulo two primes, so no repeated pattern collides by itself."""
+
+    #: Primes, and bases that generate long cycles.
+    PRIMES = ((2147483647, 911382323), (2147483629, 972663749))
+
+    def __init__(self, raw: np.ndarray):
+        self.parts = []
+        wide = raw.astype(np.int64) + 1
+        for prime, base in self.PRIMES:
+            up, down = _powers(prime, base, 1 << max(12, len(raw).bit_length()))
+            terms = wide * up[: len(raw)]
+            if len(raw) > 1 << 23:
+                terms %= prime  # sums of more would not fit
+            sums = np.zeros(len(raw) + 1, np.int64)
+            np.cumsum(terms, out=sums[1:])
+            self.parts.append((prime, sums, down))
+
+    def ranges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (b - a).astype(np.uint64) << np.uint64(40)
+        with np.errstate(over="ignore"):
+            for prime, sums, down in self.parts:
+                out = mix64(out + ((sums[b] - sums[a]) % prime * down[a] % prime).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        return out
+
+
+@lru_cache(4)
+def _powers(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` to the powers 0 to ``n``, and to their negatives, modulo ``prime``; by doubling."""
+    out = []
+    for b in (base, pow(base, -1, prime)):
+        table = np.ones(1, np.int64)
+        while len(table) <= n:
+            table = np.append(table, table * pow(b, len(table), prime) % prime)
+        out.append(table)
+    return out[0], out[1]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (splitmix64)."""
     with np.errstate(over="ignore"):

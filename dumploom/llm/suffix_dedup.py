@@ -16,7 +16,8 @@ The result covers every window of every text, same-text repeats included; no gro
 its passage, is gathered in one task.
 
 Edge cases: null is the empty text; texts shorter than a window keep all; very long texts are read
-in blocks; rows equal in id and text are repeats of each other; null ids take part; no rows: none.
+in blocks; rows equal in id and text are repeats of each other; null ids take part; no rows: none;
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,43 +28,43 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map, materialize, mix64, text_bytes, utf8
+from dumploom.llm.common import RangeHash, arrow_map, carried, forget, materialize, mix64, schema_of, text_bytes, utf8, with_cut_texts
 from dumploom.llm.graph import grouped, groups
-from dumploom.llm.ngram_join import _powers
+
 
 @dataclass(frozen=True)
 class RepeatParams:
     length: int = 400
     gram: int = 64
     #: Distinct contexts of an anchor that one task takes; more are refined.
-    most_contexts: int = 1500
-    #: Bytes of contexts in one transform (a larger group of at most ``most_contexts`` still is one).
-    transform_bytes: int = 2 << 20
+    most_contexts: int = 800
+    #: Bytes of contexts in one transform (a larger group of at most ``most_contexts`` still is one); some 100 bytes of memory for each.
+    transform_bytes: int = 1 << 19
     split: int = 8
-    block: int = 1 << 19  # windows of a text handled at once; positions in a block must fit 20 bits
-
-
-class Hashes:
-    """Hashes of any byte range, from prefix sums."""
+    block: int = 1 << 17  # windows of a text handled at once; positions in a block must fit 20 bits
 
-    def __init__(self, raw: np.ndarray):
-        self.up, self.down = _powers(1 << (max(len(raw), 4096)).bit_length())
-        with np.errstate(over="ignore"):
-            terms = (raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)]
-        self.sums = np.append(np.uint64(0), np.cumsum(terms))
 
-    def ranges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
+def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
+    """A cheap hash of every run of ``size`` bytes, by doubling. It only picks anchors: equal runs must agree, and unequal ones may."""
+    h, width, base = raw.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    whole, done = None, 0  # of the first ``done`` bytes of each run
+    with np.errstate(over="ignore"):
+        while True:
+            up = np.uint64(pow(base, width, 1 << 64))
+            if size & width:
+                whole = h if whole is None else whole[: len(h) - done] * up + h[done:]
+                done += width
+            if done == size:
+                return mix64(whole[: len(raw) - size + 1])
+            h = h[:-width] * up + h[width:]
+            width *= 2
 
 
 def anchors(raw: np.ndarray, p: RepeatParams):
     """(first window, last window, anchor hash, context hash, anchor's distance from the first window) arrays of a block's anchors."""
     n = len(raw) - p.length + 1
-    h = Hashes(raw)
-    starts = np.arange(len(raw) - p.gram + 1)
-    gram = h.ranges(starts, starts + p.gram)
-    low = (gram & ~np.uint64((1 << 20) - 1)) | starts.astype(np.uint64)
+    gram = gram_hashes(raw, p.gram)
+    low = (gram & ~np.uint64((1 << 20) - 1)) | np.arange(len(gram), dtype=np.uint64)
     width, size = p.length - p.gram + 1, 1
     while size * 2 <= width:
         low, size = np.minimum(low[:-size], low[size:]), size * 2
@@ -71,7 +72,7 @@ def anchors(raw: np.ndarray, p: RepeatParams):
     at = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     last = np.append(first[1:], n) - 1
-    return first, last, gram[at[first]], h.ranges(first, last + p.length), at[first] - first
+    return first, last, gram[at[first]], RangeHash(raw).ranges(first, last + p.length), at[first] - first
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,21 +112,23 @@ def _occurrences(p: RepeatParams):
 def suffix_array(symbols: np.ndarray, owner: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes in order; a separator (0) ends a suffix, ties then go by ``owner``. ``left``: symbols before the separator."""
     n, k = len(symbols), 7
-    padded = np.append(symbols.astype(np.int64), np.zeros(k, np.int64))
+    padded = np.append(symbols, np.zeros(k, symbols.dtype))
     key = np.zeros(n, np.int64)
     for j in range(k):
-        key = (key << 9) | np.where(left >= j, padded[j : j + n], 0)
-    rank = np.zeros(n, np.int64)  # where a suffix's ties begin in the order
-    open_, k = np.arange(n), 7
+        key <<= 9
+        key |= np.where(left >= j, padded[j : j + n], 0)
+    rank = np.zeros(n, np.int32)  # where a suffix's ties begin in the order
+    open_, k = np.arange(n, dtype=np.int32), 7
     open_ = _settle(rank, open_, key)
+    del key, padded
     while len(open_):
         ahead = rank[np.minimum(open_ + k, n - 1)]
         ended = left[open_] < k
         ahead[ended] = owner[open_[ended]]
-        open_ = _settle(rank, open_, rank[open_] * (n + 1) + ahead)
+        open_ = _settle(rank, open_, rank[open_].astype(np.int64) * (n + 1) + ahead)
         k *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
+    order = np.empty(n, np.int32)
+    order[rank] = np.arange(n, dtype=np.int32)
     return order
 
 
@@ -143,14 +146,17 @@ def _settle(rank: np.ndarray, open_: np.ndarray, key: np.ndarray) -> np.ndarray:
 def shared_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, the offsets of its windows that another window in ``bodies`` equals."""
     sizes = np.array([len(b) + 1 for b in bodies])
-    symbols = np.concatenate([np.append(np.frombuffer(b, np.uint8).astype(np.uint16) + 1, np.uint16(0)) for b in bodies])
-    n, ends = len(symbols), np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(bodies)), sizes)
-    left = ends[owner] - 1 - np.arange(n)
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
+    symbols = np.frombuffer(b"\0".join([*bodies, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
+    symbols[ends - 1] = 0
+    owner = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes)
+    left = (np.repeat(ends, sizes) - 1 - np.arange(n)).astype(np.int32)
     order = suffix_array(symbols, owner, left)
+    del owner, left
     bwt = symbols[order - 1]  # of the suffix at 0 this is the last separator
-    back = np.empty(n, np.int64)  # where a suffix's extension by its preceding symbol stands
-    back[np.argsort(bwt, kind="stable")] = np.arange(n)
+    back = np.empty(n, np.int32)  # where a suffix's extension by its preceding symbol stands
+    back[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
 
     front = symbols[order]
     common = np.full(n + 1, -1, np.int16)
@@ -170,12 +176,12 @@ def shared_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
         a, b = lb[~one], rb[~one]
         if len(a):
             width = b - a + 1
-            of = np.repeat(np.arange(len(a)), width)
-            rows = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width) + a[of]
+            of = np.repeat(np.arange(len(a), dtype=np.int32), width)
+            rows = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(width) - width - a).astype(np.int32), width)
             kept = bwt[rows] != 0
             of, rows = of[kept], rows[kept]
             if len(rows):
-                sort = np.argsort(of * (n + 1) + back[rows])
+                sort = np.argsort(of.astype(np.int64) * (n + 1) + back[rows])
                 of, rows = of[sort], rows[sort]
                 to, symbol = back[rows], bwt[rows]
                 start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1])))
@@ -227,7 +233,7 @@ def _refine(p: RepeatParams, step: int):
         for batch in batches:
             out = {k: [] for k in ("anchor", "context", "k1", "k2", "lo", "hi", "n", "far", "body")}
             for row in batch.to_pylist():
-                h, far, runs = Hashes(np.frombuffer(row["body"], np.uint8)), row["far"], row["hi"] - row["lo"] + 1
+                h, far, runs = RangeHash(np.frombuffer(row["body"], np.uint8)), row["far"], row["hi"] - row["lo"] + 1
                 cells = np.arange((far - runs + 1) // step, far // step + 1)
                 nearest, farthest = far - cells * step, far - (cells * step + step - 1)  # windows at the cells' ends
                 a, b = np.maximum(farthest, 0), np.minimum(nearest, runs - 1)
@@ -287,6 +293,7 @@ def repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
             yield out
 
     now = materialize(arrow_map(fetched, bodies, f"{CONTEXT}, contexts long"), "contexts")
+    used = [found, again, now]
     step = p.length - p.gram + 1
     while True:
         small = now.where(F.col("contexts") <= p.most_contexts)
@@ -295,14 +302,18 @@ def repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
         if large.isEmpty():
             break
         step = -(-step // p.split)
-        parts = _group(materialize(arrow_map(large.drop("contexts"), _refine(p, step), CONTEXT), "parts"))
+        cut = materialize(arrow_map(large.drop("contexts"), _refine(p, step), CONTEXT), "parts")
+        parts = _group(cut)
         ranges.append(_whole(parts.where("n = 1"), p))
         unsure = parts.where("contexts > 1 and singles > 0").drop("n", "singles").withColumnRenamed("total", "n")
         now = materialize(unsure.dropDuplicates(["anchor", "context"]), "contexts")
+        used += [cut, now]
     every = ranges[0]
     for more in ranges[1:]:
         every = every.unionByName(more)
-    return materialize(every, "ranges")
+    every = materialize(every, "ranges")
+    forget(*used)
+    return every
 
 
 def _keyed(docs: DataFrame, columns: list) -> DataFrame:
@@ -348,8 +359,7 @@ def report(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
                 out["spans"].append([list(s) for s in spans])
             yield {"doc_id": batch.column("doc_id")} | out
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return arrow_map(rows, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>")
+    return arrow_map(rows, run, schema_of(rows, ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>"))
 
 
 def _to_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -366,8 +376,7 @@ def _to_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
     """``docs`` whose texts have lost their repeated bytes (whole characters only); same rows and columns."""
-    names, kind = docs.columns, dict(docs.dtypes)
-    rows = _with_ranges(docs, [F.struct(*names).alias("_row"), "doc_id"], p).drop("doc_id")
+    rows = _with_ranges(docs, [carried(docs), "doc_id"], p).drop("doc_id")
 
     def run(batches):
         for batch in batches:
@@ -378,11 +387,7 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFra
                 texts.append(_kept(text, spans).decode("utf-8", "replace") if spans else None)
             yield {"_row": batch.column("_row"), "cut": cut, "cut_text": texts}
 
-    done = arrow_map(rows, run, f"_row {dict(rows.dtypes)['_row']}, cut boolean, cut_text string")
-    new = {"text": F.when(F.col("cut"), F.col("cut_text")).otherwise(F.col("_row.text")).cast(kind["text"])}
-    if "n_chars" in kind:
-        new["n_chars"] = F.when(F.col("cut"), F.length("cut_text")).otherwise(F.col("_row.n_chars")).cast(kind["n_chars"])
-    return done.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in names])
+    return with_cut_texts(arrow_map(rows, run, schema_of(rows, ["_row"], "cut boolean, cut_text string")), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
