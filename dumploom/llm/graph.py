@@ -33,6 +33,19 @@ class UnionFind:
         return np.array([self.root(x) for x in range(len(self.up))], np.int64)
 
 
+def told_apart(classes: DataFrame) -> DataFrame:
+    """``classes`` (told apart by the hashes h1 and h2) with ``node``, one long for each: h1, or another hash where two classes have the same h1."""
+    taken = classes.groupBy("h1").agg(F.count("*").alias("_n")).where("_n > 1").select("h1")
+    if taken.isEmpty():  # nearly always: n classes meet with a chance of n^2 / 2^65
+        return classes.withColumn("node", F.col("h1"))
+    for salt in range(1, 100):
+        numbered = classes.join(taken.withColumn("_taken", F.lit(True)), "h1", "left")
+        numbered = numbered.withColumn("node", F.when(F.col("_taken"), F.xxhash64("h1", "h2", F.lit(salt))).otherwise(F.col("h1"))).drop("_taken")
+        if numbered.groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+            return numbered
+    raise RuntimeError("classes could not be told apart")
+
+
 def tiles(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFrame:
     """``rows`` of keys that at least two members share, dealt into tiles of at most two chunks.
 
@@ -109,6 +122,8 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         seen = state
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    out._scratch = path
+    return out

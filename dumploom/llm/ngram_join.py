@@ -1,6 +1,6 @@
 """Near-duplicate texts: an n-gram Jaccard join with Bayesian candidate pruning.
 
-Texts become sets of five-word shingles. Texts of equal sets form one class. Classes with an
+Texts become sets of five-word shingles. Texts of equal sets (by two 64-bit hashes of the whole set) form one class. Classes with an
 equal band of MinHash values are candidates; their MinHash values are compared a few at a time
 and a pair is dropped as soon as the posterior probability that its similarity reaches the
 threshold (uniform prior, binomial matches) falls below a tolerance. Surviving pairs only
@@ -11,8 +11,9 @@ No pairs are ever rows: large groups are cut into tiles, a tile returns a link c
 class and a spanning forest of its links.
 
 Edge cases: a text without words (null included) has no shingles and no links; one of fewer than five
-words is one shingle; null ids take part and sort first; rows equal in text are links to
-each other; all shingles of a text count, whatever its length.
+words is one shingle; null ids take part, a group's class_id is its smallest id that is not null; rows equal in
+text are links to each other; all shingles of a text count, whatever its length; no rows: none; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map, materialize, mix64, text_bytes, utf8, WORD_TABLE
-from dumploom.llm.graph import UnionFind, components, grouped, groups, tiles
+from dumploom.llm.common import WORD_TABLE, RangeHash, arrow_map, carried, forget, materialize, mix64, schema_of, text_bytes, unpacked, utf8
+from dumploom.llm.graph import UnionFind, components, grouped, groups, tiles, told_apart
 
 
 @dataclass(frozen=True)
@@ -40,35 +41,23 @@ class JoinParams:
     chunk: int = 1500
 
 
-_BLOCK = 1 << 20
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(b)))) for b in (base, inverse))
+_BLOCK = 1 << 18
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
-    found, rest = [], b""
+    """A 62-bit hash of each word, in order."""
+    found, held = [], []
     for at in range(0, len(text), _BLOCK):
-        block = rest + text[at : at + _BLOCK].translate(WORD_TABLE)
-        if at + _BLOCK < len(text):
-            cut = block.rfind(b" ") + 1 or len(block)
-            if cut == len(block) and not block.endswith(b" "):
-                rest = block  # one word longer than a block
-                continue
-            block, rest = block[:cut], block[cut:]
-        raw = np.frombuffer(b" " + block + b" ", np.uint8)
+        block = text[at : at + _BLOCK].translate(WORD_TABLE)
+        cut = block.rfind(b" ") + 1 if at + _BLOCK < len(text) else len(block)
+        held.append(block[:cut] if cut else block)
+        if not cut:
+            continue  # all of one word, which goes on
+        raw = np.frombuffer(b" " + b"".join(held) + b" ", np.uint8)
+        held = [block[cut:]]
         inside = raw != 32
         edge = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edge[0::2], edge[1::2]
-        up, down = _powers(1 << (max(len(raw), 4096) - 1).bit_length())
-        with np.errstate(over="ignore"):
-            sums = np.append(np.uint64(0), np.cumsum((raw[1:].astype(np.uint64) + np.uint64(1)) * up[: len(raw) - 1]))
-            found.append(mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        found.append(RangeHash(raw[1:]).ranges(edge[0::2], edge[1::2]))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -142,8 +131,7 @@ def sketch(docs: DataFrame, params: JoinParams) -> DataFrame:
                 sig.append(minhash(s, params.hashes).tobytes() if len(s) else b"")
             yield {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_shingles": n, "h1": h1, "h2": h2, "sig": sig}
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return arrow_map(rows, run, f"doc_id {kind}, text_key long, n_shingles long, h1 long, h2 long, sig binary")
+    return arrow_map(rows, run, schema_of(rows, ["doc_id"], "text_key long, n_shingles long, h1 long, h2 long, sig binary"))
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -254,16 +242,17 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     kept (doc_id = class_id) and the text_key and group that tell rows apart; one row a document."""
     needed = least_matches(params)
     rows = materialize(sketch(docs, params), "sketches")
-    # A class is a shingle set; h1 stands for it in the graph.
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(
         F.count("*").alias("mult"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("sig").alias("sig")
     )
-    classes = materialize(classes.withColumnRenamed("h1", "node"), "classes")
+    kept_classes = materialize(classes, "classes")
+    classes = told_apart(kept_classes)
     bucket = ["band", "key", "tile_a", "tile_b"]
     near = tiles(_bands(classes), ["band", "key"], "node", params.chunk)
     near = near.join(classes.select("node", "sig"), "node")
     edges = arrow_map(grouped(near, bucket), lambda b: (_connect(t, k, needed) for t, k in groups(b, bucket)), "a long, b long")
-    hoods = components(materialize(edges.distinct(), "near-edges"), "hoods")
+    near_edges = materialize(edges.distinct(), "near-edges")
+    hoods = components(near_edges, "hoods")
 
     inside = classes.join(hoods, "node").select("node", "component", "mult", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key"))
     texts = docs.select(F.col("doc_id").alias("_doc"), text_bytes("text").alias("text")).withColumn("_text_key", F.xxhash64("text"))
@@ -276,19 +265,21 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
     sets = arrow_map(fetched.select("node", "component", "mult", "text"), reshingle, "node long, component long, mult long, shingles binary")
     tile = ["component", "tile_a", "tile_b"]
-    dealt = tiles(materialize(sets, "sets"), ["component"], "node", params.chunk)
+    sets = materialize(sets, "sets")
+    dealt = tiles(sets, ["component"], "node", params.chunk)
     found = arrow_map(
         grouped(dealt, tile), lambda b: (_verify(t, k, params, needed) for t, k in groups(b, tile)), "node long, other long, links long"
     )
     found = materialize(found, "links")
+    forget(near_edges, hoods, sets)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "links")
 
-    of_class = classes.select("node", "h2", "mult", F.col("rep.doc_id").alias("first")).join(links, "node", "left").join(final, "node", "left")
+    of_class = classes.select("node", "h1", "h2", "mult", F.col("rep.doc_id").alias("first")).join(links, "node", "left").join(final, "node", "left")
     of_class = of_class.withColumn("component", F.coalesce("component", "node"))
     smallest = of_class.groupBy("component").agg(F.min("first").alias("class_id"))
     known = of_class.join(smallest, "component").select(
-        F.col("node").alias("h1"), "h2", F.col("component").alias("group"), "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "h1", "h2", F.col("component").alias("group"), "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     joined = rows.join(known, ["h1", "h2"], "left")
     class_id = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
@@ -299,16 +290,15 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of its smallest id; same columns."""
+    """``docs`` with one row of each group of near duplicates, that of its smallest id (of texts with that id, one); same columns."""
     kept = near_duplicates(docs, params).where("kept")
-    one = kept.where("group is not null").dropDuplicates(["group"])
-    alone = kept.where("group is null")
-    keys = one.union(alone).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "group").distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64(text_bytes("text")))
-    same = (rows["_text_key"] == keys["_key"]) & rows["doc_id"].eqNullSafe(keys["_id"])
-    met = rows.join(keys, same)
-    single = met.where("group is not null").dropDuplicates(["_text_key", "doc_id"])
-    return single.unionByName(met.where("group is null")).select(*docs.columns)
+    one = kept.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("_id"), F.min("text_key").alias("_key"))
+    alone = kept.where("group is null").select("group", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keys = one.union(alone.distinct())
+    rows = docs.select(carried(docs), F.col("doc_id").alias("_doc"), F.xxhash64(text_bytes("text")).alias("_text_key"))
+    met = rows.join(keys, (F.col("_text_key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    single = met.where("group is not null").dropDuplicates(["_text_key", "_doc"])
+    return single.unionByName(met.where("group is null")).select(*unpacked(docs.schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

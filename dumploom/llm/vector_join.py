@@ -14,7 +14,8 @@ Pairs are never rows: a tile (see ``graph.tiles``) returns link counts and a spa
 
 Edge cases: a vector that is null, empty or zero, or that holds null or non-finite components, links with
 nothing; vectors of different lengths do not link; equal vectors are one class with a count, so
-a very common vector costs as much as one; null ids take part and sort first.
+a very common vector costs as much as one; null ids take part, a component's id is its smallest that
+is not null; no rows: none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from dumploom.llm.common import arrow_map, materialize
-from dumploom.llm.graph import UnionFind, components, grouped, groups, tiles
+from dumploom.llm.graph import UnionFind, components, grouped, groups, tiles, told_apart
 
 
 @dataclass(frozen=True)
@@ -167,9 +168,9 @@ def near_vectors(vectors: DataFrame, params: VectorParams = VectorParams()) -> D
     good = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     rows = vectors.select("vec_id", values.alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
     rows = rows.withColumn("v", F.when(F.col("good"), F.expr(f"transform(v, x -> x + cast(0 as {kind}))")))
-    rows = rows.withColumn("node", F.when(F.col("good"), F.xxhash64("v"))).drop("good")
-    classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
-    classes = materialize(classes, "vector-classes")
+    rows = rows.withColumns({"h1": F.when(F.col("good"), F.xxhash64("v")), "h2": F.when(F.col("good"), F.xxhash64(F.lit(5), "v"))}).drop("good")
+    classes = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
+    classes = told_apart(materialize(classes, "vector-classes"))
 
     def cells(batches):
         for batch in batches:
@@ -190,9 +191,9 @@ def near_vectors(vectors: DataFrame, params: VectorParams = VectorParams()) -> D
     final = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "vectors")
     known = classes.drop("v").join(links, "node", "left").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = known.join(smallest, "component").select("node", "component_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = rows.select("vec_id", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
+    known = known.join(smallest, "component").select("h1", "h2", "component_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = rows.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component, F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
