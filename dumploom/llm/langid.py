@@ -8,7 +8,8 @@ n-grams that the language knows; the language with the largest share wins.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; a null id is never
 learned from and not held out; texts are read whole, in blocks; without labelled rows every
-text is ``und``; ties go to the alphabetically first language; repeated rows each get a row.
+text is ``und``; ties go to the alphabetically first language; repeated rows each get a row; no rows:
+none; other columns are not looked at, whatever their names; any number of languages will do.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map, materialize, mix64, remainder
+from dumploom.llm.common import arrow_map, carried, forget, materialize, mix64, named, remainder, schema_of, unpacked
 
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
@@ -42,7 +43,7 @@ class LanguageParams:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    slots: np.ndarray  # masks; the length is a power of two
+    slots: np.ndarray  # rows of masks, one row for each 64 languages; their length is a power of two
     false_positive: np.ndarray  # by language
     hashes: int
     sharpness: float
@@ -120,16 +121,14 @@ def _counts(batches):
 
 
 def fit(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Learn from ``labelled`` (text, lang); null texts or languages teach nothing, copies once a language. At most 64 languages."""
+    """Learn from ``labelled`` (text, lang); null texts or languages teach nothing, copies once a language."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
     key = F.xxhash64("text")
     distinct = rows.select("lang", key.alias("key")).distinct()
-    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("a mask holds at most 64 languages")
+    sizes = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
-        return LanguageModel((), np.zeros(1, np.uint8), np.zeros(0), params.hashes, params.sharpness)
+        return LanguageModel((), np.zeros((1, 1), np.uint8), np.zeros(0), params.hashes, params.sharpness)
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, params.sample_per_language / n))])
     draw = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
     sample = materialize(rows.where(draw < rate[F.col("lang")]).dropDuplicates(), "language-sample")
@@ -137,15 +136,25 @@ def fit(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> Langu
     total = F.create_map(*[F.lit(x) for x in _totals(sample).items() for x in x])
     common = counted.where((F.col("n") >= params.min_count) & (F.col("n") >= total[F.col("lang")] * params.min_share))
     table = common.select("lang", "gram").toArrow()
-    languages = tuple(sorted(sizes))
+    forget(sample)
+    return build_model(_by_language(table, sizes), params)
+
+
+def _by_language(table, languages) -> dict[str, np.ndarray]:
     grams, langs = table.column("gram").to_numpy().view(np.uint64), np.array(table.column("lang").to_pylist(), object)
-    most = max([1, *(int((langs == x).sum()) for x in languages)])
-    width = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-    slots = np.zeros(1 << int(np.ceil(np.log2(most * params.bits_per_gram))), width)
+    return {x: grams[langs == x] for x in languages}
+
+
+def build_model(grams: dict[str, np.ndarray], params: LanguageParams = LanguageParams()) -> LanguageModel:
+    """The bit-sliced array of each language's n-gram hashes; beyond 64 languages a slot has several words."""
+    languages = tuple(sorted(grams))
+    n, most = len(languages), max([1, *map(len, grams.values())])
+    width = np.uint8 if n <= 8 else np.uint16 if n <= 16 else np.uint64
+    slots = np.zeros((-(-n // 64), 1 << int(np.ceil(np.log2(most * params.bits_per_gram)))), width)
     for bit, lang in enumerate(languages):
-        for at in _slots_of(grams[langs == lang], len(slots), params.hashes):
-            np.bitwise_or.at(slots, at, width(1 << bit))
-    fill = np.array([((slots >> width(b)) & width(1)).mean() for b in range(len(languages))])
+        for at in _slots_of(grams[lang], slots.shape[1], params.hashes):
+            np.bitwise_or.at(slots[bit // 64], at, width(1 << bit % 64))
+    fill = np.array([((slots[b // 64] >> width(b % 64)) & width(1)).mean() for b in range(n)])
     return LanguageModel(languages, slots, fill**params.hashes, params.hashes, params.sharpness)
 
 
@@ -165,15 +174,16 @@ def score_text(model: LanguageModel, text: str | None) -> tuple[str, float, floa
     """(language, score, share of the n-grams that the language knows)."""
     hits, total = np.zeros(len(model.languages), np.int64), 0
     for grams in _gram_hashes(text or ""):
-        mask = None
-        for at in _slots_of(grams, len(model.slots), model.hashes):
-            mask = model.slots[at] if mask is None else mask & model.slots[at]
-        counts = np.bincount(mask, minlength=256) if mask.dtype == np.uint8 else None
-        for b in range(len(hits)):
-            if counts is None:
-                hits[b] += int(((mask >> mask.dtype.type(b)) & mask.dtype.type(1)).sum())
-            else:
-                hits[b] += int(counts[_with_bit(b)].sum())
+        for word, masks in enumerate(model.slots):
+            mask = None
+            for at in _slots_of(grams, len(masks), model.hashes):
+                mask = masks[at] if mask is None else mask & masks[at]
+            counts = np.bincount(mask, minlength=256) if mask.dtype == np.uint8 else None
+            for b in range(min(64, len(hits) - 64 * word)):
+                if counts is None:
+                    hits[64 * word + b] += int(((mask >> mask.dtype.type(b)) & mask.dtype.type(1)).sum())
+                else:
+                    hits[b] += int(counts[_with_bit(b)].sum())
         total += len(grams)
     if not total or not len(hits):
         return UNDETERMINED, 0.0, 0.0
@@ -191,9 +201,8 @@ def _with_bit(b: int) -> np.ndarray:
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` and lang_pred, score, known_share from the whole of ``text`` alone."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most 64 languages / min_share n-grams
-    kept = docs.select(*keep, F.col("text").cast("string").alias("_lang_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    shared = spark.sparkContext.broadcast(model)  # at most languages / min_share n-grams of each order
+    kept = docs.select(*map(named, keep), F.col("text").cast("string").alias("_lang_text"))
 
     def rows(batches):
         for batch in batches:
@@ -201,7 +210,13 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
             out = {name: batch.column(name) for name in keep}
             yield out | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "known_share": [x[2] for x in found]}
 
-    return arrow_map(kept, rows, f"{fields}, lang_pred string, score double, known_share double")
+    return arrow_map(kept, rows, schema_of(kept, keep, "lang_pred string, score double, known_share double"))
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """``docs`` in a language that the model knows, at least ``least`` of their n-grams known; same columns, whatever their names."""
+    found = predict(docs.select(carried(docs), "text"), model, ("_row",))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("known_share") >= least)).select(*unpacked(docs.schema))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
