@@ -8,7 +8,8 @@ item, reset the automaton without a Python step each.
 
 Edge cases: null or wordless texts have no words and hit nothing; items without words match
 nothing; items with equal ids count once; a null item id counts and is written as an empty
-string; texts are read whole, very long ones as a stream; no items: nothing is contaminated.
+string; texts are read whole, very long ones as a stream; no items: nothing is contaminated; no
+documents: no rows; other columns of documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import WORD_TABLE, arrow_map, text_bytes, utf8, words_of
+from dumploom.llm.common import WORD_TABLE, arrow_map, carried, named, schema_of, text_bytes, utf8, with_cut_texts, words_of
 
 WINDOW = 8
 #: Words of items in one automaton. More items make more automata, applied one after another.
@@ -163,7 +164,7 @@ class LeakLimits:
 
 def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
     """Automata of ``items`` (item_id, text), each of a bounded number of words; items pass the driver one by one."""
-    block, size = [], 0
+    block, size, some = [], 0, False
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_bytes("text").alias("text"))
     for row in rows.toLocalIterator():
         words = words_of(bytes(row.text))
@@ -172,7 +173,9 @@ def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WO
         if size >= block_words:
             yield SuffixAutomaton(block, window)
             block, size = [], 0
-    yield SuffixAutomaton(block, window)
+            some = True
+    if block or not some:  # one at least, so that words are counted
+        yield SuffixAutomaton(block, window)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -182,10 +185,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_
     """
     spark = docs.sparkSession
     rows = docs.select(
-        *keep, text_bytes("text").alias("_text"), F.lit(0).cast("long").alias("n_words"),
+        *map(named, keep), text_bytes("text").alias("_text"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<array<bigint>>").alias("leaks"), F.lit(None).cast("array<string>").alias("items"),
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = rows.schema
     for automaton in automata(items, window, block_words):
         shared = spark.sparkContext.broadcast(automaton)  # bounded by block_words
 
@@ -233,13 +236,9 @@ def cut_words(text: bytes, spans: list) -> bytes:
 
 def decontaminate(docs: DataFrame, items: DataFrame, limits: LeakLimits = LeakLimits(), window: int = WINDOW) -> DataFrame:
     """``docs`` without leaks: rows over a limit go, other rows lose their leaking spans; same columns."""
-    names = docs.columns
-    whole = F.struct(*[F.col(c) for c in names]).alias("_row")
-    found = find_leaks(docs.select(whole, F.col("text")), items, ("_row",), window)
+    found = find_leaks(docs.select(carried(docs), F.col("text")), items, ("_row",), window)
     hit = F.expr("aggregate(leaks, 0L, (n, x) -> n + x[1] - x[0])")
     good = found.where((F.size("items") < limits.max_items) & (hit <= F.col("n_words") * limits.max_coverage))
-    kind = dict(docs.dtypes)
-    schema = f"_row {dict(good.dtypes)['_row']}, cut boolean, cut_text string"
 
     def cut(batches):
         for batch in batches:
@@ -247,12 +246,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, limits: LeakLimits = LeakLi
             texts = [cut_words(t, s).decode("utf-8", "replace") if s else None for t, s in zip(utf8(batch.column("_text")), leaks, strict=True)]
             yield {"_row": batch.column("_row"), "cut": [bool(s) for s in leaks], "cut_text": texts}
 
-    rows = arrow_map(good.select("_row", "_text", "leaks"), cut, schema)
-    text = F.when(F.col("cut"), F.col("cut_text")).otherwise(F.col("_row.text"))
-    new = {"text": text.cast(kind["text"])}
-    if "n_chars" in kind:
-        new["n_chars"] = F.when(F.col("cut"), F.length("cut_text")).otherwise(F.col("_row.n_chars")).cast(kind["n_chars"])
-    return rows.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in names])
+    rows = arrow_map(good.select("_row", "_text", "leaks"), cut, schema_of(good, ["_row"], "cut boolean, cut_text string"))
+    return with_cut_texts(rows, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ scoring is one narrow pass over whole texts.
 
 Edge cases: null and empty texts score as a sentence without any similarity; without
 labelled rows of both kinds every text scores the share of label 1 (0 without labels); repeated
-label rows of an id count once, the larger label winning; null ids are never learned from.
+label rows of an id count once, the larger label winning; null ids are never learned from; very long
+texts are read in blocks cut at white space; no rows: none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from unicodedata import normalize
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map, materialize, remainder
+from dumploom.llm.common import arrow_map, forget, materialize, named, remainder, schema_of
 
 OFFSETS = tuple((a, b) for a, b in combinations(range(1, 5), 2))  # of a subsequence's second and third characters
 LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "@": "a", "$": "s"}
@@ -330,6 +331,9 @@ def fit(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Toxic
             yield {"label": batch.column("label"), "known": found}
 
     known = arrow_map(sample, evidences, "label int, known array<double>").collect()  # bounded by the sample
+    forget(sample)
+    shared.unpersist()
+    shared_machine.unpersist()
     return replace(trained, curve=fit_curve(np.array([r.known for r in known]), np.array([float(r.label) for r in known])))
 
 
@@ -362,14 +366,13 @@ def _in_groups(model: ToxicityModel, texts: list[str | None]):
 def predict(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and score, from the whole of ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of landmarks
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_toxic_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = docs.select(*map(named, keep), F.col("text").cast("string").alias("_toxic_text"))
 
     def run(batches):
         for batch in batches:
             yield {c: batch.column(c) for c in keep} | {"score": scores(shared.value, batch.column("_toxic_text").to_pylist())}
 
-    return arrow_map(rows, run, f"{fields}, score double")
+    return arrow_map(rows, run, schema_of(rows, keep, "score double"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
