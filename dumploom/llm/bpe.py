@@ -12,7 +12,7 @@ down to leaves of ``LEAF`` bytes and joined up the tree, so a match of any lengt
 linear time. Decoding concatenates token bytes, pairwise up the tree.
 
 Edge cases: null is the empty text (no ids); texts are read whole, very long ones match by match;
-without rows there are none; repeated rows each get a row.
+without rows there are none; repeated rows each get a row; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from itertools import islice
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map, keeps
+from dumploom.llm.common import arrow_map, keeps, named, schema_of
 
 LEAF = 12
+DECODED = 4096  # tokens in a leaf of the decoder's tree
 MEMO = 24  # bytes of the longest window remembered
 CACHE = 400_000  # encoded matches a worker remembers, and a quarter as many of their parts
 BLOCK = 200_000  # matches handled at once
@@ -117,8 +118,12 @@ class Encoder:
         return b"".join(self.blocks(text))
 
     def decode(self, ids) -> bytes:
-        """Concatenate the tokens' bytes (CPython's join sums the sizes, then copies each part once)."""
-        return b"".join(map(self.token.__getitem__, ids))
+        """Leaves of ``DECODED`` tokens, concatenated in pairs up a tree."""
+        token = self.token.__getitem__
+        level = [b"".join(map(token, ids[i : i + DECODED])) for i in range(0, len(ids), DECODED)]
+        while len(level) > 1:
+            level = [level[i] + level[i + 1] if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 class _Cache(dict):
@@ -166,8 +171,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple
 
     ``vocabulary`` is a path that every executor can open; narrow, no shuffle.
     """
-    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_bpe_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    rows = docs.select(*map(named, keep), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_bpe_text"))
 
     def encode(batches):
         encoder = load(vocabulary, pattern)
@@ -190,8 +194,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple
             out = {c: batch.column(c) for c in keep} | {"n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": text_hash}
             yield out | ({"ids": packed} if with_ids else {})
 
-    schema = f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return arrow_map(rows, encode, schema)
+    return arrow_map(rows, encode, schema_of(rows, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
