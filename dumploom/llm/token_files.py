@@ -10,7 +10,8 @@ Files are written by tasks that range-partition the documents; names derive from
 partition and files appear by rename, so a repeated task replaces its own files.
 
 Edge cases: null is the empty text (its only id is the end id); repeated ids keep a row each, in
-an order fixed by their texts; null ids come first; no rows: no files; texts are read whole.
+an order fixed by their texts; null ids come first; no rows: no files; texts are read whole; a special
+token's literal in a text is that token, as the library has it; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -55,14 +56,17 @@ class WordTokenizer:
     """A library tokenizer that lower-cases, cuts by ``WORDS`` and marks each word's last token with </w>.
 
     Words of plain texts are encoded by the library once, many at a time, and told apart again
-    by their last tokens; a text with other characters is encoded by the library as a whole.
+    by their last tokens; a text with other characters, or with the literal of a special or added
+    token, is encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # Texts that hold an added token's literal, in whatever case, are the library's to read.
+        added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.library.get_vocab()
         self.width = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -78,8 +82,9 @@ class WordTokenizer:
             self.cache.clear()
         group, size = [], 0
         for text in texts:
-            plain = len(text) <= BLOCK and _LATIN.fullmatch(text)
-            group.append(WORDS.findall(text.lower()) if plain else text)
+            lower = text.lower()
+            plain = len(text) <= BLOCK and _LATIN.fullmatch(text) and not (self.added and self.added.search(lower))
+            group.append(WORDS.findall(lower) if plain else text)
             size += len(text)
             if size > BLOCK:
                 yield from self._group(group)
