@@ -4,7 +4,7 @@ Records are ordered by the hash of their text (equal texts stand together) and c
 small ranges at quantiles of a size-weighted key sample. Exact sizes of the ranges come from
 one aggregation; a range that turns out overfull is cut again at its own sample's quantiles,
 until none is. A group of equal texts too large for a range, by bytes or by rows, has ranges of
-its own: one larger than a shard, or of too many rows, is subdivided by the hash of its ids. Large items then go, largest first, to
+its own: one larger than a shard, or of too many rows, is subdivided by the hash of its ids and row numbers. Large items then go, largest first, to
 the emptiest shard, and runs of ordinary ranges fill the shards up in key order, so that sizes
 (the ``bytes`` law) come out near equal; equal texts share a shard unless their group itself
 exceeds one.
@@ -12,8 +12,8 @@ exceeds one.
 What reaches the driver is one entry a range (rows / ``rows_per_range``, as little as a few MB
 for billions of rows) and fewer large groups than shards / ``large_share`` and two a range.
 
-Edge cases: null is a text of no bytes (size 16); null ids have one hash; rows equal in id and
-text share a subdivision; no rows: no shards; fewer rows than shards leave shards empty.
+Edge cases: null is a text of no bytes (size 16); null ids and rows equal in id and text are dealt by
+row number; no rows: no shards; fewer rows than shards leave shards empty; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dumploom.llm.common import arrow_map, materialize
+from dumploom.llm.common import arrow_map, materialize, schema_of
 
 ROW_BYTES = 16
 
@@ -41,12 +41,12 @@ class ShardParams:
 
 
 def _records(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, key (orders the texts) and spread (orders equal texts by their ids)."""
+    """doc_id, size, text_crc32, key (orders the texts) and spread (orders equal texts, rows of one id too). Rows get it once, as they are stored."""
     text = F.col("text").cast("string")
     raw = F.coalesce(text.cast("binary"), F.lit(b""))
     return docs.select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.xxhash64(raw, F.lit(1)).alias("key"), F.xxhash64("doc_id", F.lit(2)).alias("spread"),
+        F.xxhash64(raw, F.lit(1)).alias("key"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("spread"),
     )
 
 
@@ -64,7 +64,6 @@ def _range_of(rows: DataFrame, splitters: np.ndarray, keep: tuple[str, ...], pie
     first, count = (np.array([pieces[k][i] for k in large.tolist()], np.int64) for i in (0, 1))
     shared = spark.sparkContext.broadcast((splitters, large, first, count))  # one entry a range
     kept = rows.select(*keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def place(batches):
         cuts, large, first, count = shared.value
@@ -78,7 +77,7 @@ def _range_of(rows: DataFrame, splitters: np.ndarray, keep: tuple[str, ...], pie
                 number = np.where(own, first[at] + (spread * count[at]).astype(np.int64), number)
             yield {c: batch.column(c) for c in keep} | {"part": number}
 
-    return arrow_map(kept, place, f"{fields}, part long")
+    return arrow_map(kept, place, schema_of(kept, keep, "part long"))
 
 
 def _measure(rows: DataFrame) -> dict[int, tuple[int, int]]:
