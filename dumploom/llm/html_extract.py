@@ -3,14 +3,16 @@
 Pages of one host share templates. Each page looks for the container with the most text that is
 neither furniture (menus, adverts, comments) nor links, an article counting half more, goes inwards
 while nothing but furniture and links stays outside, and votes for the generalised tag-class path
-of what it finds: tags with their classes, numbers in classes made alike. Spark sums the votes of
-a host; every page is then read again and its text is taken from the elements at the winning path,
-or from its own best container where it has none there. Headings and paragraphs that stand beside
+of what it finds: tags with their classes, numbers in classes made alike. A word in a class marks
+furniture only where the element holds at most half of the page's prose. Spark sums the votes of
+a host; every page is then read again, where it stands, and its text is taken from the elements at the
+winning path, or from its own best container where it has none there. Headings and paragraphs that stand beside
 such an element, in a container inside the body, are taken with it.
 
 Edge cases: null or empty html gives an empty text of 0 characters; a null or relative url has
 no host, and such a page uses its own best container; unclosed and cut-off markup is read as far
-as it goes; character references are decoded once; repeated rows each get a row.
+as it goes; character references are decoded once; repeated rows each get a row; very long pages are
+read whole, one at a time; no rows: none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from html import unescape
 
 from pyspark.sql import DataFrame, functions as F
 
-from dumploom.llm.common import arrow_map
+from dumploom.llm.common import arrow_map, materialize, schema_of
 
 #: Elements whose text is never part of an article.
 FURNITURE = frozenset("nav footer aside form button select option textarea label dialog menu head title noscript template iframe object svg canvas audio video".split())
@@ -33,6 +35,8 @@ MARKS = frozenset(
     "header masthead footer comment comments respond disqus discussion notice notices notification cookie cookies consent gdpr alert popup modal overlay "
     "share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager tags skip complementary contentinfo".split()
 )
+#: With one of these words beside it, "header" means an article's own.
+OWN = frozenset("entry post article story".split())
 CONTAINERS = frozenset("html body main article section div td center blockquote".split())
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr th caption pre figure figcaption header hgroup address hr details summary fieldset".split()
@@ -42,6 +46,9 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
 ARTICLES = frozenset(("article", "main"))
 
+MOST_BROADCAST = 100_000  # hosts whose paths are broadcast, some 100 bytes each
+SALTS = 16  # tasks over which a host's pages are dealt where there are more
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -51,7 +58,9 @@ class Node:
     tag: str
     path: str
     parent: Node | None
-    furniture: bool
+    furniture: bool  # by its tag, or an outer one's; after parsing, by class too
+    marked: bool = False  # as furniture, by a word in class, id or role
+    prose: int = 0  # characters under it in blocks that are not mostly links, marked elements' too
     good: int = 0  # characters under it in blocks that are not mostly links
     links: int = 0  # characters under it in blocks that are; furniture counts in neither
     loose: int = 0  # of ``good``, what is in no container inside it
@@ -64,7 +73,8 @@ def _names(attributes: str) -> tuple[list[str], bool]:
     classes, marked = [], False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         value = (m[2] or m[3] or m[4] or "").lower()
-        marked |= any(word in MARKS for word in re.split(r"[^a-z]+", value))
+        words = set(re.split(r"[^a-z]+", value))
+        marked |= not MARKS.isdisjoint(words - {"header"} if words & OWN else words)
         if m[1].lower() == "class":
             classes += [re.sub(r"\d+", "#", x) for x in value.split()]
     return sorted(set(classes)), marked
@@ -73,22 +83,15 @@ def _names(attributes: str) -> tuple[list[str], bool]:
 def parse(html: str):
     """(nodes in page order, the first stands for the page, blocks): a block is its node and its text, white space made single."""
     root = Node("", "", None, False)
-    stack, nodes, blocks, text, at, links = [root], [root], [], [], 0, 0
+    stack, nodes, blocks, prose, text, at, links = [root], [root], [], [], [], 0, 0
 
     def flush():
         if text:
             line = " ".join(unescape("".join(t for t, _ in text)).split())
             if line:
                 linked = sum(len(t) for t, is_link in text if is_link)
-                node, size = stack[-1], len(line)
-                blocks.append((node, line))
-                prose = 2 * linked < size
-                if prose:
-                    _container(node).loose += size
-                while node is not None and not node.furniture:
-                    node.good += size if prose else 0
-                    node.links += 0 if prose else size
-                    node = node.parent
+                blocks.append((stack[-1], line))
+                prose.append(2 * linked < len(line))
             text.clear()
 
     for m in iter(lambda: _TAG.search(html, at), None):
@@ -125,18 +128,35 @@ def parse(html: str):
             continue
         classes, marked = _names(m[3] or "")
         up = stack[-1]
-        header = tag == "header" and not any(n.tag in ARTICLES for n in stack)
-        furniture = up.furniture or tag in FURNITURE or header or (marked and tag not in ("html", "body", *ARTICLES))
-        node = Node(tag, f"{up.path}/{'.'.join([tag, *classes])}", up, furniture)
+        header = tag == "header" and not any(n.tag in ARTICLES for n in stack) and not any(OWN.intersection(re.split("[^a-z]+", c)) for c in classes)
+        node = Node(tag, f"{up.path}/{'.'.join([tag, *classes])}", up, up.furniture or tag in FURNITURE or header, marked and tag not in ("html", "body", *ARTICLES))
         up.children.append(node)
         nodes.append(node)
         stack.append(node)
     if at < len(html):
         text.append((html[at:], links > 0))
     flush()
+    _weigh(nodes, blocks, prose)
     return nodes, blocks
 
 
+def _weigh(nodes: list[Node], blocks: list[tuple[Node, str]], prose: list[bool]) -> None:
+    """Decide what is furniture, and sum up what the nodes hold."""
+    for (node, line), good in zip(blocks, prose, strict=True):
+        while good and node is not None and not node.furniture:
+            node.prose += len(line)
+            node = node.parent
+    for node in nodes[1:]:  # outer ones first
+        node.furniture |= node.parent.furniture or (node.marked and 2 * node.prose <= nodes[0].prose)
+    for (node, line), good in zip(blocks, prose, strict=True):
+        if good and not node.furniture:
+            _container(node).loose += len(line)
+        while node is not None and not node.furniture:
+            node.good += len(line) if good else 0
+            node.links += 0 if good else len(line)
+            node = node.parent
+
+
 def _container(node: Node) -> Node:
     """The innermost container around ``node`` or itself, at last the page."""
     while node.parent is not None and node.tag not in CONTAINERS:
@@ -218,15 +238,21 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the path used, one row a page."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host().alias("host"))
-    joined = rows.join(winning_paths(pages), "host", "left").select("page_id", "url", "html", "path")
-    kind = dict(joined.dtypes)
+    paths = materialize(winning_paths(pages), "host-paths")
+    if paths.count() <= MOST_BROADCAST:  # a row a host; pages stay where they are
+        joined = rows.join(F.broadcast(paths), "host", "left")
+    else:  # the pages of a host are dealt over several tasks
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "_salt"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
 
     def run(batches):
         for batch in batches:
             texts = [extract(h, p) if h else "" for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             yield {c: batch.column(c) for c in ("page_id", "url", "path")} | {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    return arrow_map(joined, run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, path string")
+    kind = schema_of(joined, ["page_id", "url"], "text string, n_chars long, path string")
+    return arrow_map(joined, run, kind)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
