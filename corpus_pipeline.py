@@ -3,52 +3,78 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame
 with the columns of ``documents``, the last one the encoded corpus. Every stage works on all
 rows its predecessor kept.
+
+Edge cases: extra columns, whatever their names, come through all stages but the last; null ids and
+repeated rows are rows like others, of which the second stage keeps one a text; empty tables stay
+empty; texts of any length are read whole. Each stage's docstring says what becomes of null texts.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from dumploom.llm import bpe, decontam, langid, ngram_join, suffix_dedup
-from dumploom.llm.common import drop_path, release_scratch, shared_dir
+from dumploom.llm.common import drop_path, scratch_tables, shared_dir
 
 #: A text is rejected if it has no letter, or if its best language knows less than this share of its n-grams.
 LEAST_KNOWN = 0.25
 
+#: Scratch tables that the last stage's result reads; by the contract they are free once the next stage begins.
+_of_last_stage: list[str] = []
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``work``; the scratch tables of the stage before it are deleted first, those of other operators stay."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _free(spark)
+        before = set(scratch_tables())
+        out = work(spark, docs, sf_dir)
+        _of_last_stage.extend(p for p in scratch_tables() if p not in before)
+        return out
+
+    return run
+
+
+def _free(spark: SparkSession) -> None:
+    while _of_last_stage:
+        drop_path(spark, _of_last_stage.pop())
+
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus's labelled rows teach."""
-    release_scratch(spark)
-    model = langid.fit(langid.training_rows(docs))
-    found = langid.predict(docs, model, tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("known_share") >= LEAST_KNOWN)).select(*docs.columns)
+    """Documents in a language that the corpus's labelled rows teach; null, empty and letterless texts go, and without labels all."""
+    return langid.keep_known(docs, langid.fit(langid.training_rows(docs)), LEAST_KNOWN)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    release_scratch(spark)
+    """One document of each group of near duplicates, that of the smallest id; texts without words all stay."""
     return ngram_join.drop_near_duplicates(docs)
 
 
+@_stage
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of 400 that occur elsewhere."""
-    release_scratch(spark)
+    """Texts without byte strings of 400 that occur elsewhere; rows all stay, null texts too."""
     return suffix_dedup.remove_repeats(docs)
 
 
+@_stage
 def remove_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of benchmark items; documents with several items go."""
-    release_scratch(spark)
+    """Texts without passages of benchmark items; documents with several items go, null texts stay."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of the ids and of the text decoded from them, and the ids."""
+    """doc_id, n_tokens, digests of the ids and of the text decoded from them, and the ids; a null text has none."""
     import public_tokenizers as P
 
-    release_scratch(spark)
     return bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True)
 
 
@@ -75,5 +101,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             drop_path(spark, before)
         before = path
-    release_scratch(spark)
+    _free(spark)
     return docs
