@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 
 
-class LoadError(ValueError):
-    """Base of all failures of a load; keyword details become attributes."""
+class LoadError(Exception):
+    """Base of all failures of a load; keyword details become attributes. Faults of the input are also ValueErrors, others what they are."""
 
     text = "load failed"
 
@@ -16,8 +16,8 @@ class LoadError(ValueError):
         super().__init__(self.text.format(**details))
 
 
-def _kind(name: str, text: str, base: type = LoadError) -> type:
-    return type(name, (base,) if base is LoadError else (LoadError, base), {"text": text, "__module__": __name__})
+def _kind(name: str, text: str, base: type = ValueError) -> type:
+    return type(name, (LoadError, base), {"text": text, "__module__": __name__})
 
 
 FieldTooLarge = _kind("FieldTooLarge", "a field of {len} bytes exceeds the limit of {limit}")

@@ -8,17 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 # Names of types that load as text by design.
-TEXTUAL = frozenset(
-    """text|varchar|character varying|char|character|bpchar|name|uuid|json|jsonb|xml|inet|cidr|macaddr|macaddr8|interval|money|bit|bit varying
-    |varbit|tsvector|tsquery|point|line|lseg|box|path|polygon|circle|int4range|int8range|numrange|tsrange|tstzrange|daterange""".replace("\n", "").replace(" " * 4, "").split("|")
-)
-# Names of types that load as something else, by kind.
-NAMES = {
-    "smallint": "smallint int2 smallserial serial2", "integer": "integer int int4 serial serial4", "bigint": "bigint int8 bigserial serial8",
-    "real": "real float4", "boolean": "boolean bool", "date": "date", "bytea": "bytea", "numeric": "numeric decimal",
-}
-KIND = {name: kind for kind, names in NAMES.items() for name in names.split()} | {
-    "double precision": "double precision", "float8": "double precision",
+TEXTUAL = frozenset({
+    "bit", "bit varying", "box", "bpchar", "char", "character", "character varying", "cidr", "circle", "daterange", "inet", "int4range", "int8range", "interval",
+    "json", "jsonb", "line", "lseg", "macaddr", "macaddr8", "money", "name", "numrange", "path", "point", "polygon", "text", "tsquery", "tsrange", "tstzrange",
+    "tsvector", "uuid", "varbit", "varchar", "xml",
+})
+# Names of types that load as something else, and their kinds.
+KIND = {
+    "smallint": "smallint", "int2": "smallint", "smallserial": "smallint", "serial2": "smallint",
+    "integer": "integer", "int": "integer", "int4": "integer", "serial": "integer", "serial4": "integer",
+    "bigint": "bigint", "int8": "bigint", "bigserial": "bigint", "serial8": "bigint",
+    "real": "real", "float4": "real", "double precision": "double precision", "float8": "double precision",
+    "numeric": "numeric", "decimal": "numeric", "boolean": "boolean", "bool": "boolean", "date": "date", "bytea": "bytea",
     "timestamp": "timestamp", "timestamp without time zone": "timestamp", "timestamptz": "timestamptz", "timestamp with time zone": "timestamptz",
     "time": "time", "time without time zone": "time", "timetz": "time", "time with time zone": "time",
 }

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from dumploom.operators.store import Drift
+from dumploom.operators.store import Drift, relative_path
+from dumploom.sources.ddl import TableName
 
 HISTORY = "_load_history"
 HISTORY_SCHEMA = T.StructType(
@@ -31,6 +32,12 @@ class TableStats:
     null_substitutions: dict[str, int] = field(default_factory=dict)
     text_fallback_columns: list[tuple[str, str]] = field(default_factory=list)
     schema_drift: Drift | None = None
+    name: TableName | None = None  # in its two parts
+
+    @property
+    def folder(self) -> str:
+        """Below the load's output."""
+        return relative_path(self.name)
 
 
 @dataclass(frozen=True)
@@ -46,17 +53,6 @@ class LoadReport:
     load_id: str
 
 
-def missing(expected: DataFrame, seen: DataFrame, column: str = "table") -> DataFrame:
-    """Expected tables that were not seen, in order; exchange the two for those not expected."""
-    return expected.join(seen, column, "left_anti").select(column).distinct().orderBy(column)
-
-
-def schema_changes(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(column, was, now) of every column added, removed or retyped; both sides have column and type."""
-    was, now = current.select("column", F.col("type").alias("was")), incoming.select("column", F.col("type").alias("now"))
-    return was.join(now, "column", "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
-
-
 def history_rows(report: LoadReport, loaded_at) -> list[tuple]:
     """A row a table, loaded or missing; load-level facts on each."""
     rows = []
