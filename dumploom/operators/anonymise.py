@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([+-][0-9]{2}(:?[0-9]{2})?)?\z"
-NUMBER = r"^-?[0-9]+([.][0-9]+)?\z"
+STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([+-][0-9]{2}(:?[0-9]{2})?)?\z"
+NUMBER = r"^[+-]?[0-9]+([.][0-9]+)?\z"
 
 
 def _draw(key: str, place: list[Column], n: Column | int, modulo: int) -> Column:
@@ -38,7 +38,7 @@ def anonymise_field(field: Column, key: str, place: list[Column]) -> Column:
         return value.otherwise(token)
 
     def digit(token: Column, n: Column) -> Column:
-        first = (n == F.when(F.startswith(field, F.lit("-")), 1).otherwise(0)) & field.rlike(r"^-?[0-9]{2}")
+        first = (n == F.when(field.rlike("^[+-]"), 1).otherwise(0)) & field.rlike(r"^[+-]?[0-9]{2}")
         drawn = F.when(first, _draw(key, place, n, 9) + 1).otherwise(_draw(key, place, n, 10))
         return F.when(token.rlike(r"^[0-9]\z"), drawn.cast("string")).otherwise(token)
 

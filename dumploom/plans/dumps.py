@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import shutil
+from collections.abc import Mapping
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from dumploom.functions.copytext import render_row
-from dumploom.sources.files import file_system
+from dumploom.sources.files import data_uri, file_system
 
 PREAMBLE = "-- Dumped from database version 17.4\n-- Dumped by pg_dump version 17.4\n\n"
 
@@ -36,10 +39,21 @@ def _rendered(value, declared: str):
     return value.cast("string")
 
 
+def append_lines(lines: DataFrame, out, folder: str, storage_options: Mapping[str, str] | None = None) -> None:
+    """Put ``lines`` (one string column) at the end of the stream ``out``: written by tasks to ``folder``, then copied as bytes in their order."""
+    lines.write.option("lineSep", "\n").text(data_uri(folder))
+    store, path = file_system(folder, storage_options)
+    for f in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda f: f.base_name):
+        if f.base_name.startswith("part-"):
+            with store.open_input_file(f.path) as part:
+                shutil.copyfileobj(part, out, 8 << 20)
+    store.delete_dir(path)
+
+
 def write_dump(path: str, tables: list[tuple[str, list[tuple[str, str]], DataFrame]], compress: bool = False) -> str:
-    """A dump of (qualified name, columns, rows); rows pass the driver one by one."""
+    """A dump of (qualified name, columns, rows)."""
     store, where = file_system(path)
-    with store.open_output_stream(where) as raw:
+    with store.open_output_stream(where, compression=None) as raw:
         out = gzip.GzipFile(fileobj=raw, mode="wb") if compress else raw
         out.write(PREAMBLE.encode())
         for name, columns, _ in tables:
@@ -47,8 +61,7 @@ def write_dump(path: str, tables: list[tuple[str, list[tuple[str, str]], DataFra
             out.write(f"CREATE TABLE {name} (\n{body}\n);\n\n".encode())
         for name, columns, rows in tables:
             out.write(f"COPY {name} ({', '.join(quoted(c) for c, _ in columns)}) FROM stdin;\n".encode())
-            for row in copy_lines(rows, columns).toLocalIterator():
-                out.write(row.value.encode() + b"\n")
+            append_lines(copy_lines(rows, columns), out, f"{path}-lines")
             out.write(b"\\.\n\n")
         if compress:
             out.close()

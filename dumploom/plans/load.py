@@ -8,8 +8,8 @@ then each is committed, and the history gets a row a table.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -24,7 +24,7 @@ from dumploom.operators.reports import HISTORY, HISTORY_SCHEMA, LoadReport, Tabl
 from dumploom.operators.store import MODES, Table, reject_managed, relative_path
 from dumploom.sources.ddl import TableName
 from dumploom.sources.dump import block_lines, index
-from dumploom.sources.files import plain_copy
+from dumploom.sources.files import file_system, give_options, plain_copy
 
 
 @dataclass(frozen=True)
@@ -35,29 +35,44 @@ class Progress:
     table: str
 
 
+def table_sets(seen: set[str], wanted: set[str] | None, expected: set[str] | None) -> tuple[list[str], list[str]]:
+    """(missing, unexpected) tables in order. What ``expected`` names, else what ``wanted`` does, is missing if not seen; only what ``expected`` does not name is unexpected."""
+    basis = expected if expected is not None else wanted or set()
+    return sorted(basis - seen), [] if expected is None else sorted(seen - expected)
+
+
+def _unspool(plain: str, dump: str, options) -> None:
+    """Delete the plain copy of a compressed dump."""
+    if plain != dump:
+        store, path = file_system(plain, options)
+        store.delete_file(path)
+
+
 def load_dump(
     spark: SparkSession, dump: str, output_uri: str, *, tables: Iterable[str] | None = None, excluded_schemas: Iterable[str] = (), wide_numeric_as_decimal: bool = False,
-    native_arrays: bool = False, mode: str = "overwrite", batch_rows: int = 100_000, threads: int = 8, commit_concurrency: int = 16, expect_pg_major: int | None = None,
-    expect_tables: Iterable[str] | None = None, write_history: bool = False, limits: Limits = Limits(), progress: Callable[[Progress], bool | None] | None = None, history: str = HISTORY,
+    native_arrays: bool = False, mode: str = "overwrite", batch_rows: int = 100_000, batch_bytes: int = 128 << 20, threads: int = 8, commit_concurrency: int = 16, expect_pg_major: int | None = None,
+    expect_tables: Iterable[str] | None = None, write_history: bool = False, limits: Limits = Limits(), progress: Callable[[Progress], bool | None] | None = None, history: str = HISTORY, storage_options: Mapping[str, str] | None = None,
 ) -> LoadReport:
     """Publish every wanted table of ``dump`` under ``output_uri``; see the module for how.
 
-    ``progress`` is called between tables; if it returns False or raises, nothing was committed.
+    ``progress`` is called between tables; if it returns False or raises, nothing was committed. Files hold at most ``batch_rows`` rows,
+    in row groups of about ``batch_bytes``. ``storage_options`` serve the dump and the tables alike.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     reject_managed(output_uri)
+    give_options(spark, storage_options)
     output_uri, load_id, now = output_uri.rstrip("/"), f"{time.time_ns() // 1000:020d}", datetime.now(timezone.utc)
     wanted, expected = None if tables is None else set(tables), None if expect_tables is None else set(expect_tables)
-    plain, compression, size = plain_copy(dump, f"{spark.conf.get('spark.checkpoint.dir', None) or output_uri}/_spool")
-    found = index(plain, wanted=lambda n: wanted is None or n.qualified() in wanted, excluded_schemas=frozenset(excluded_schemas), expect_major=expect_pg_major, limits=limits)
+    plain, compression, size = plain_copy(dump, f"{spark.conf.get('spark.checkpoint.dir', None) or output_uri}/_spool", storage_options)
+    found = index(plain, wanted=lambda n: wanted is None or n.qualified() in wanted, excluded_schemas=frozenset(excluded_schemas), expect_major=expect_pg_major, limits=limits, options=storage_options)
 
     merged: dict[TableName, list] = {}
     for block in found.blocks:
         if write_history and block.name == TableName(None, history):
             raise UnsafeTableName(name=block.name.qualified())
         merged.setdefault(block.name, []).append(block)
-    targets = {name: Table(f"{output_uri}/{relative_path(name)}") for name in merged}
+    targets = {name: Table(f"{output_uri}/{relative_path(name)}", storage_options) for name in merged}
     schemas = {name: StructType([StructField(c, spark_type(resolve(t), wide_numeric_as_decimal, native_arrays)) for c, t in blocks[0].columns]) for name, blocks in merged.items()}
 
     def opened(name):
@@ -65,15 +80,16 @@ def load_dump(
 
     def staged(name):
         adds, rows, lost, fallbacks = [], 0, {}, []
+        spark.sparkContext.setJobGroup(load_id, f"load of {name.qualified()}", interruptOnCancel=True)
         for block in merged[name]:
             if not block.ranges:
                 fallbacks = [(c, t) for c, t in block.columns if not resolve(t).recognised]
                 continue
-            got = decode(block_lines(spark, plain, block.ranges), block.columns, wide_numeric=wide_numeric_as_decimal, native_arrays=native_arrays, limits=limits)
+            got = decode(block_lines(spark, plain, block.ranges, options=storage_options), block.columns, wide_numeric=wide_numeric_as_decimal, native_arrays=native_arrays, limits=limits)
             seen = Observation()
             names = list(got.substituted)
             watched = got.rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[got.substituted[c].alias(f"n{i}") for i, c in enumerate(names)])
-            adds += targets[name].stage(columns_only(type(got)(watched, {}, []), block.columns), load_id, batch_rows)
+            adds += targets[name].stage(columns_only(type(got)(watched, {}, []), block.columns), load_id, batch_rows, batch_bytes)
             counts = seen.get
             rows += counts["rows"]
             for i, c in enumerate(names):
@@ -95,11 +111,17 @@ def load_dump(
         except BaseException as error:
             for job in jobs.values():
                 job.cancel()
+            spark.sparkContext.cancelJobGroup(load_id)
+            wait(jobs.values())
+            for name in merged:
+                targets[name].discard(load_id)
+            _unspool(plain, dump, storage_options)
             ours = from_spark(error)
             if ours is not None:
                 raise ours from None
             raise
 
+    _unspool(plain, dump, storage_options)
     versions: dict[TableName, int] = {}
     failed: list[tuple[TableName, Exception]] = []
     with ThreadPoolExecutor(max(1, commit_concurrency)) as pool:
@@ -113,13 +135,13 @@ def load_dump(
         raise PartialCommitError(failed[0][0].qualified(), len(versions), len(merged), str(failed[0][1]))
 
     seen = {n.qualified() for n in found.seen}
-    basis = expected if expected is not None else wanted or set()
-    stats = [TableStats(n.qualified(), results[n][1], len(results[n][0]), versions[n], results[n][2], results[n][3], changes[n]) for n in merged]
+    absent, surplus = table_sets(seen, wanted, expected)
+    stats = [TableStats(n.qualified(), results[n][1], len(results[n][0]), versions[n], results[n][2], results[n][3], changes[n], n) for n in merged]
     report = LoadReport(
-        found.dumped_by, found.from_database, compression, size, total, stats, sorted(basis - seen), sorted(seen - expected) if expected is not None else [], load_id
+        found.dumped_by, found.from_database, compression, size, total, stats, absent, surplus, load_id
     )
     if write_history:
-        table = Table(f"{output_uri}/{history}")
+        table = Table(f"{output_uri}/{history}", storage_options)
         rows = spark.createDataFrame(history_rows(report, now), HISTORY_SCHEMA)
         nullable = StructType([StructField(f.name, f.dataType) for f in HISTORY_SCHEMA])
         table.check(nullable, "append", history)

@@ -5,20 +5,25 @@ Most render a table as COPY text and decode it again; the SQL reads the table it
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dumploom.functions.copytext import escape, text, unescape
+from dumploom.errors import LoadError
+from dumploom.functions.copytext import Limits, escape, render_row, text, unescape
 from dumploom.functions.pgtypes import resolve
 from dumploom.functions.values import parse
 from dumploom.operators import anonymise
+from dumploom.operators.catalog import external_table_sql
 from dumploom.operators.decode import columns_only, decode
-from dumploom.operators.reports import HISTORY, missing, schema_changes, snapshot_versions
+from dumploom.operators.reports import HISTORY, snapshot_versions
 from dumploom.operators.store import Table
-from dumploom.plans.dumps import copy_lines, write_dump
+from dumploom.plans.anonymise_dump import anonymise_dump, audit_dumps
+from dumploom.plans.dumps import PREAMBLE, copy_lines, write_dump
 from dumploom.plans.load import load_dump
+from dumploom.sources.files import file_system
 
 #: How the sample tables are declared.
 DECLARED = {
@@ -128,12 +133,16 @@ def bytes_escape(spark, sf_dir):
 
 
 def arrays(native: bool):
+    """All items of a vector, by number and place, and a null behind them."""
+
     def run(spark, sf_dir):
         shown = F.concat(F.lit("{"), F.array_join("embedding", ","), F.lit(",NULL}"))
         got = _one(spark, sf_dir, "embeddings", "vec_id", shown, "real[]", arrays=native)
-        if not native:
-            return got.select("vec_id", F.startswith("v", F.lit("{")).alias("literal"), (F.size(F.split("v", ",")) - 1).cast("long").alias("n"))
-        return got.select("vec_id", F.size("v").cast("long").alias("n"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).isNull().alias("last_is_null"))
+        items = F.col("v") if native else F.expr("transform(split(substring(v, 2, length(v) - 2), ','), x -> cast(nullif(x, 'NULL') as float))")
+        got = got.select("vec_id", items.alias("v"))
+        scaled = "cast(round(cast(x as double) * 1000000) as bigint)"
+        total, placed = (F.expr(f"aggregate(transform(filter(v, x -> x is not null), (x, i) -> {w} * {scaled}), 0L, (s, x) -> s + x)") for w in ("1", "(i + 1)"))
+        return got.select("vec_id", F.size("v").cast("long").alias("n"), total.alias("total"), placed.alias("placed"), F.element_at("v", -1).isNull().alias("last_is_null"))
 
     return run
 
@@ -148,31 +157,134 @@ def substitutions(spark, sf_dir):
     return got.rows.agg(F.count("*").alias("n_rows"), *[got.substituted[c].alias(f"lost_{c}") for c in ("b", "c")])
 
 
-def rows_per_table(spark, sf_dir):
-    counts = [decoded(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n_rows")) for t in DECLARED]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+def _sums(declared: str, column: str) -> tuple[str, str]:
+    """A whole number that depends on every value of a column, in Spark's SQL and in the oracle's."""
+    if declared.startswith(("integer", "bigint")):
+        return f"sum(bigint({column}))", f"sum({column})"
+    if declared.startswith("double"):
+        return f"sum(bigint(round({column} * 100)))", f"sum(CAST(round({column} * 100) AS BIGINT))"
+    if declared.startswith("timestamp"):
+        return f"sum(unix_seconds(timestamp({column})))", f"sum(CAST(floor(epoch({column})) AS BIGINT))"
+    return f"sum(bigint(length({column})))", f"sum(length({column}))"
+
+
+def sums_per_column(spark, sf_dir):
+    """Rows, values and a sum of every column of every table, decoded."""
+    out = None
+    for t in DECLARED:
+        columns = columns_of(t)
+        got = decoded(spark, sf_dir, t).agg(F.count("*").alias("n_rows"), *[x for c, d in columns for x in (F.count(c).alias(f"n_{c}"), F.expr(_sums(d, c)[0]).alias(f"s_{c}"))])
+        rows = F.explode(F.array(*[F.struct(F.lit(t).alias("name"), F.lit(c).alias("column"), F.col("n_rows"), F.col(f"n_{c}").alias("n"), F.col(f"s_{c}").alias("total")) for c, _ in columns]))
+        got = got.select(rows.alias("r")).select("r.*")
+        out = got if out is None else out.unionByName(got)
     return out
 
 
-def _names(spark, names):
-    return spark.createDataFrame([(n,) for n in names], "table string")
+SUMS_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS name, '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n, CAST({_sums(d, c)[1]} AS BIGINT) AS total FROM {t}" for t in DECLARED for c, d in columns_of(t)
+)
 
 
-def missing_tables(spark, sf_dir):
-    return missing(_names(spark, ["public.a", "public.c", "public.b", "public.b"]), _names(spark, ["public.a", "audit.log"]))
+def table_set(unexpected: bool):
+    """What a load reports of the tables it was told to expect."""
 
+    def run(spark, sf_dir):
+        folder = _folder(spark)
+        dump = _dump_of(spark, sf_dir, folder, ["nation", "region"])
+        report = load_dump(spark, dump, folder, tables=["public.nation"], expect_tables=["public.nation", "public.zeta", "public.alpha"])
+        names = report.unexpected_tables if unexpected else report.missing_tables
+        return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, name string")
 
-def unexpected_tables(spark, sf_dir):
-    return missing(_names(spark, ["public.a", "audit.log"]), _names(spark, ["public.a", "public.c"]))
+    return run
 
 
 def schema_diff(spark, sf_dir):
-    current = [(f.name, f.dataType.simpleString()) for f in _table(spark, sf_dir, "nation").schema]
-    incoming = [(n, "bigint" if n == "n_nationkey" else k) for n, k in current if n != "n_name"] + [("n_comment", "string")]
-    frames = [spark.createDataFrame(x, "column string, type string") for x in (current, incoming)]
-    return schema_changes(*frames)
+    """The drift that a second load of a table with other columns reports."""
+    folder, rows = _folder(spark), _table(spark, sf_dir, "nation")
+    load_dump(spark, _dump_of(spark, sf_dir, folder, ["nation"]), folder)
+    changed = rows.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_regionkey", F.lit("c").alias("n_comment"))
+    columns = [("n_nationkey", "bigint"), ("n_regionkey", "integer"), ("n_comment", "text")]
+    drift = load_dump(spark, write_dump(f"{folder}/changed.sql", [("public.nation", columns, changed)]), folder).tables[0].schema_drift
+    told = [("added", c, None, None) for c in drift.added] + [("removed", c, None, None) for c in drift.removed] + [("retyped", *x) for x in drift.retyped]
+    return spark.createDataFrame([*told, ("summary", drift.summary(), None, None)], "kind string, name string, was string, now string")
+
+
+def _faults() -> list[tuple]:
+    """(case, dump, options) of loads that fail."""
+    head = PREAMBLE
+    t = lambda columns, rows, name="public.t", end="\\.\n": f"CREATE TABLE {name} (\n    {columns}\n);\n\nCOPY {name} ({', '.join(c.split()[0] for c in columns.split(', '))}) FROM stdin;\n{rows}{end}"
+    good = t("a integer", "1\n")
+    return [
+        ("array", head + t("a integer[]", "1,2\n"), {"native_arrays": True}), ("create", head + "CREATE TABLE x.y nothing);\n" + good, {}), ("end", head + t("a integer", "1\n", end=""), {}),
+        ("escape", head + t("a text", "x\\\n"), {}), ("field", head + t("a text", "abcdefgh\n"), {"limits": Limits(max_field_bytes=4)}), ("fields", head + t("a integer", "1\t2\n"), {}),
+        ("header", head + "CREATE TABLE public.t (\n    a integer\n);\n\nCOPY public.t () FROM stdin;\n1\n\\.\n", {}), ("hex", head + t("a text", "\\xg\n"), {}), ("history", head + t("a integer", "1\n", "_load_history"), {"write_history": True}),
+        ("major", head + good, {"expect_pg_major": 16}), ("managed", head + good, {"output_uri": "/user/hive/warehouse/x"}), ("name", head + t("a integer", "1\n", 'public."a/b"'), {}),
+        ("old", head.replace("pg_dump version 17", "pg_dump version 15") + good, {}), ("overflow", head + t("a smallint", "40000\n"), {}), ("row", head + t("a text", "abcdefgh\n"), {"limits": Limits(max_field_bytes=4, max_row_bytes=4)}),
+        ("utf8", head + t("a text", "\\377\n"), {}), ("value", head + t("a timestamp without time zone", "soon\n"), {}), ("version", good, {}), ("wide", head + t("a integer", "1\t2\t3\n"), {"limits": Limits(max_columns=2)}),
+        ("zstd", b"\x28\xb5\x2f\xfd\0\0", {}),
+    ]
+
+
+FAULTS_SQL = """SELECT * FROM (VALUES ('array', 'UnparsableValue', '{"column": "a", "expected": "array"}'), ('create', 'MalformedCreateTable', '{"table": "x.y"}'), ('end', 'UnterminatedCopy', '{"table": "public.t"}'),
+('escape', 'TruncatedEscape', '{}'), ('field', 'FieldTooLarge', '{"len": 8, "limit": 4}'), ('fields', 'FieldCountMismatch', '{"expected": 1, "found": 2}'), ('header', 'MalformedCopyHeader', '{"offset": 114}'),
+('hex', 'InvalidHexEscape', '{}'), ('history', 'UnsafeTableName', '{"name": "_load_history"}'), ('major', 'UnsupportedDumpVersion', '{"found": 17}'), ('managed', 'ManagedTableTarget', '{"marker": "/user/hive/warehouse", "uri": "/user/hive/warehouse/x"}'),
+('name', 'UnsafeTableName', '{"name": "public.a/b"}'), ('old', 'UnsupportedDumpVersion', '{"found": 15}'), ('overflow', 'UnparsableValue', '{"column": "a", "expected": "smallint"}'), ('row', 'RowTooLarge', '{"len": 8, "limit": 4}'),
+('utf8', 'NonUtf8Text', '{"column": "a"}'), ('value', 'UnparsableValue', '{"column": "a", "expected": "timestamp"}'), ('version', 'MissingDumpVersion', '{}'), ('wide', 'TooManyColumns', '{"count": 3, "limit": 2}'),
+('zstd', 'UnsupportedCompression', '{"format": "zstd"}')) AS t(name, error, details)"""
+
+
+def load_faults(spark, sf_dir):
+    """What each faulty dump fails with; none leaves a table."""
+    folder, told = _folder(spark), []
+    store, path = file_system(folder)
+    store.create_dir(path, recursive=True)
+    for name, dump, options in _faults():
+        with store.open_output_stream(f"{path}/{name}.sql") as out:
+            out.write(dump if isinstance(dump, bytes) else dump.encode())
+        try:
+            load_dump(spark, f"{folder}/{name}.sql", **({"output_uri": f"{folder}/{name}"} | options))
+            told.append((name, "none", "{}"))
+        except LoadError as error:
+            left = Table(f"{folder}/{name}/public/t").snapshot() is not None
+            told.append((name, type(error).__name__ + (" but a table" if left else ""), json.dumps(error.details, sort_keys=True)))
+    return spark.createDataFrame(told, "name string, error string, details string")
+
+
+def write_modes(spark, sf_dir):
+    """What the modes allow once a table holds data."""
+    folder, told = _folder(spark), []
+    dump = _dump_of(spark, sf_dir, folder, ["region"])
+    other = write_dump(f"{folder}/other.sql", [("public.region", [("r_regionkey", "bigint")], _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("r_regionkey")))])
+    for step, (path, mode) in enumerate([(dump, "error"), (dump, "error"), (dump, "append"), (other, "append"), (other, "overwrite")]):
+        try:
+            done = load_dump(spark, path, folder, mode=mode).tables[0]
+            told.append((step, mode, f"version {done.delta_version}", done.rows))
+        except LoadError as error:
+            told.append((step, mode, type(error).__name__, None))
+    return spark.createDataFrame(told, "step int, mode string, outcome string, n_rows long")
+
+
+def catalog_statements(spark, sf_dir):
+    """Tables of two schemas, one schema left out; the statements that register the rest."""
+    folder = _folder(spark)
+    rows, columns = _table(spark, sf_dir, "region"), columns_of("region")
+    dump = write_dump(f"{_made(folder)}/two.sql", [(n, columns, rows) for n in ("public.region", "audit.region", "public.place", '"Old Data".region')])
+    report = load_dump(spark, dump, folder, excluded_schemas=["audit"])
+    made = external_table_sql(report, "/out/", "main", "raw", tables=["public.region", "Old Data.region", "audit.region"])
+    return spark.createDataFrame([(s,) for s in made], "statement string")
+
+
+def anonymised_dump(spark, sf_dir):
+    """A dump with every field replaced, loaded: rows, values and lengths stay, no token does."""
+    folder = _folder(spark)
+    columns = [("c_custkey", "bigint"), ("c_name", "text"), ("c_nationkey", "integer"), ("c_mktsegment", "text")]
+    dump = write_dump(f"{_made(folder)}/real.sql.gz", [("public.customer", columns, _table(spark, sf_dir, "customer"))], True)
+    done = anonymise_dump(spark, dump, f"{folder}/synthetic.sql", "secret")
+    load_dump(spark, f"{folder}/synthetic.sql", folder)
+    rows = Table(f"{folder}/public/customer").read(spark)
+    sizes = [F.sum(F.length(F.col(c).cast("string"))).alias(f"size_{c}") for c, _ in columns]
+    leaked = audit_dumps(spark, dump, f"{folder}/synthetic.sql").leaked
+    return rows.agg(F.count("*").alias("n_rows"), *sizes, F.lit(done.rows_out).alias("rows_out"), F.lit(done.fields).alias("fields"), F.lit(leaked).alias("leaked"))
 
 
 def first_rows(spark, sf_dir):
@@ -185,32 +297,36 @@ def audit(spark, sf_dir):
     return anonymise.shared_tokens(bench, docs)
 
 
+SHAPE = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
 def anonymised(spark, sf_dir):
     """What must hold of anonymised rows: lengths, field counts and kinds stay."""
-    columns = columns_of("customer")
-    rows = _table(spark, sf_dir, "customer")
-    lines = rows.select("c_custkey", copy_lines_of(columns).alias("line"), F.col("c_custkey").alias("row_index"))
+    line = render_row(*[F.col(c).cast("string") for c in SHAPE])
+    lines = _table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"), F.col("c_custkey").alias("row_index"))
     out = anonymise.anonymise_rows(lines, "secret", "public.customer")
     parts = F.split("line", "\t", -1)
-    return out.select("c_custkey", F.size(parts).cast("long").alias("n"), F.length("line").cast("long").alias("size"), parts[2].rlike("^-?[0-9]+$").alias("number"))
-
-
-def copy_lines_of(columns):
-    from dumploom.functions.copytext import render_row
-
-    return render_row(*[F.col(c).cast("string") for c, _ in columns])
+    sizes = [F.length(parts[i]).cast("long").alias(f"size_{c}") for i, c in enumerate(SHAPE)]
+    return out.select("c_custkey", F.size(parts).cast("long").alias("n"), *sizes, parts[2].rlike("^[0-9]+$").alias("number"))
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dumploom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="dumploom-")
     return f"{base.rstrip('/')}/loads-{uuid.uuid4().hex}"
 
 
-def _dump_of(spark, sf_dir, folder, names, compress=False):
-    from dumploom.sources.files import file_system
-
+def _made(folder: str) -> str:
     store, path = file_system(folder)
     store.create_dir(path, recursive=True)
+    return folder
+
+
+def _dump_of(spark, sf_dir, folder, names, compress=False):
+    _made(folder)
     tables = [(f"public.{t}", columns_of(t), _table(spark, sf_dir, t)) for t in names]
     return write_dump(f"{folder}/dump-{uuid.uuid4().hex[:6]}.sql", tables, compress)
 
@@ -264,6 +380,8 @@ def history(spark, sf_dir):
     return snapshot_versions(Table(f"{folder}/{HISTORY}").read(spark), report.load_id)
 
 
+ARRAYS_SQL = """SELECT vec_id, CAST(len(embedding) + 1 AS BIGINT) AS n, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT) AS total,
+CAST(list_sum(list_transform(list_zip(embedding, range(1, len(embedding) + 1)), lambda z: z[2] * CAST(round(CAST(z[1] AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT) AS placed, true AS last_is_null FROM embeddings"""
 _SELECT = {f"copy_roundtrip_{t}": (lambda s, d, t=t: decoded(s, d, t), f"SELECT * FROM {t}") for t in DECLARED}
 _ALL = _SELECT | {
     "flagship_orders": (flagship, "SELECT o_orderstatus, count(*) AS n_orders, sum(o_totalprice) AS total, max(o_orderdate) AS latest FROM orders GROUP BY 1"),
@@ -279,13 +397,17 @@ _ALL = _SELECT | {
     "bool_copy_labels": (booleans, "SELECT doc_id, CASE quality WHEN 1 THEN true WHEN 0 THEN false END AS good FROM labels"),
     "bytea_hex_documents": (bytes_hex, "SELECT doc_id, md5(text) AS digest FROM documents"),
     "bytea_escape_events": (bytes_escape, "SELECT event_id, event_type || chr(92) AS v FROM events"),
-    "array_native_embeddings": (arrays(True), "SELECT vec_id, CAST(len(embedding) + 1 AS BIGINT) AS n, embedding[1] AS first, true AS last_is_null FROM embeddings"),
-    "array_text_literal": (arrays(False), "SELECT vec_id, true AS literal, CAST(len(embedding) AS BIGINT) AS n FROM embeddings"),
+    "array_native_embeddings": (arrays(True), ARRAYS_SQL),
+    "array_text_literal": (arrays(False), ARRAYS_SQL),
     "null_substitutions": (substitutions, "SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey % 5 = 0) AS lost_b, count(*) FILTER (o_orderkey % 4 = 0) AS lost_c FROM orders"),
-    "rows_per_table": (rows_per_table, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in DECLARED)),
-    "missing_tables": (missing_tables, "SELECT * FROM (VALUES ('public.b'), ('public.c')) AS t(\"table\")"),
-    "unexpected_tables": (unexpected_tables, "SELECT 'audit.log' AS \"table\""),
-    "schema_diff": (schema_diff, "SELECT * FROM (VALUES ('n_nationkey', 'int', 'bigint'), ('n_name', 'string', NULL), ('n_comment', NULL, 'string')) AS t(\"column\", was, now)"),
+    "sums_per_column": (sums_per_column, SUMS_SQL),
+    "missing_tables": (table_set(False), "SELECT * FROM (VALUES (0, 'public.alpha'), (1, 'public.zeta')) AS t(place, name)"),
+    "unexpected_tables": (table_set(True), "SELECT 0 AS place, 'public.region' AS name"),
+    "schema_diff": (schema_diff, "SELECT * FROM (VALUES ('added', 'n_comment', NULL, NULL), ('removed', 'n_name', NULL, NULL), ('retyped', 'n_nationkey', 'integer', 'long'), ('summary', 'added n_comment; removed n_name; n_nationkey changed from integer to long', NULL, NULL)) AS t(kind, name, was, now)"),
+    "load_faults": (load_faults, FAULTS_SQL),
+    "write_modes": (write_modes, "SELECT 0 AS step, 'error' AS mode, 'version 1' AS outcome, count(*) AS n_rows FROM region UNION ALL SELECT 1, 'error', 'TableExists', NULL UNION ALL SELECT 2, 'append', 'version 2', count(*) FROM region UNION ALL SELECT 3, 'append', 'SchemaChanged', NULL UNION ALL SELECT 4, 'overwrite', 'version 3', count(*) FROM region"),
+    "catalog_statements": (catalog_statements, "SELECT 'CREATE TABLE IF NOT EXISTS `main`.`raw`.`' || n || '` USING DELTA LOCATION ''/out/' || p || chr(39) AS statement FROM (VALUES ('public_region', 'public/region'), ('Old Data_region', 'Old Data/region')) AS t(n, p)"),
+    "anonymised_dump": (anonymised_dump, "SELECT count(*) AS n_rows, CAST(sum(length(CAST(c_custkey AS VARCHAR))) AS BIGINT) AS size_c_custkey, CAST(sum(length(c_name)) AS BIGINT) AS size_c_name, CAST(sum(length(CAST(c_nationkey AS VARCHAR))) AS BIGINT) AS size_c_nationkey, CAST(sum(length(c_mktsegment)) AS BIGINT) AS size_c_mktsegment, CAST(count(*) AS INTEGER) AS rows_out, CAST(4 * count(*) AS INTEGER) AS fields, 0 AS leaked FROM customer"),
     "max_rows_per_block": (first_rows, 'SELECT "table", line_no FROM (SELECT l_returnflag AS "table", l_orderkey * 10 + l_linenumber AS line_no, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM lineitem) WHERE r <= 5'),
     "audit_shared_tokens": (audit, "SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_.@-]{8,}')) AS token FROM benchmark) WHERE regexp_matches(token, '[^0-9]') AND token IN (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_.@-]{8,}')) FROM documents)"),
     "load_and_read": (load_and_read, "SELECT * FROM supplier"),
@@ -294,7 +416,7 @@ _ALL = _SELECT | {
     "load_append": (load_append, "SELECT * FROM nation UNION ALL SELECT * FROM nation"),
     "time_travel": (time_travel, "SELECT 0 AS version, 0::BIGINT AS n_rows UNION ALL SELECT 1, count(*) FROM nation UNION ALL SELECT 2, count(*) FROM nation WHERE n_regionkey = 1"),
     "history_snapshot": (history, "SELECT 'public.gone' AS \"table\", NULL::BIGINT AS delta_version, NULL::BIGINT AS rows, 'missing' AS status UNION ALL SELECT 'public.nation', 1, (SELECT count(*) FROM nation), 'loaded' UNION ALL SELECT 'public.region', 1, (SELECT count(*) FROM region), 'loaded'"),
-    "anonymised_shape": (anonymised, None),
+    "anonymised_shape": (anonymised, "SELECT c_custkey, 4::BIGINT AS n, length(CAST(c_custkey AS VARCHAR))::BIGINT AS size_c_custkey, length(c_name)::BIGINT AS size_c_name, length(CAST(c_nationkey AS VARCHAR))::BIGINT AS size_c_nationkey, length(c_mktsegment)::BIGINT AS size_c_mktsegment, true AS number FROM customer"),
 }
 
 

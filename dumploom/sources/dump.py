@@ -8,7 +8,7 @@ own, so a table of any size is read by as many tasks as it has ranges.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -23,6 +23,7 @@ from dumploom.sources.files import file_system, opened
 
 MAJORS = frozenset((16, 17))
 RANGE_BYTES = 16 << 20
+NUMBERED = ["value", "first", "n"]
 _BY = re.compile(r"--\s*Dumped by pg_dump version\s+(\d+)", re.I)
 _FROM = re.compile(r"--\s*Dumped from database version\s+(\d+)", re.I)
 
@@ -44,11 +45,12 @@ class DumpIndex:
     tables: dict[TableName, TableDef] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
     seen: list[TableName] = field(default_factory=list)
+    headers: list[bytes] = field(default_factory=list)  # the tables as COPY headers spell them
 
 
-def _chunks(uri: str, size: int, most: int) -> Iterator[tuple[int, bytes, bool]]:
+def _chunks(uri: str, size: int, most: int, options: Mapping[str, str] | None = None) -> Iterator[tuple[int, bytes, bool]]:
     """(offset, bytes, whether the last) cut at newlines; a line may not exceed ``most``."""
-    stream, _ = opened(uri)
+    stream, _ = opened(uri, options)
     at, rest = 0, b""
     with stream:
         while True:
@@ -75,14 +77,14 @@ def _end_mark(data: bytes, at: int) -> tuple[int, int] | None:
     return None
 
 
-def index(uri: str, *, wanted: Callable[[TableName], bool] = lambda name: True, excluded_schemas: frozenset[str] = frozenset(), expect_major: int | None = None, limits: Limits = Limits(), range_bytes: int = RANGE_BYTES) -> DumpIndex:
+def index(uri: str, *, wanted: Callable[[TableName], bool] = lambda name: True, excluded_schemas: frozenset[str] = frozenset(), expect_major: int | None = None, limits: Limits = Limits(), range_bytes: int = RANGE_BYTES, options: Mapping[str, str] | None = None) -> DumpIndex:
     """Read the dump once; structural faults surface here, before any Spark job.
 
     Blocks that are not wanted are skipped to their end mark, though they count as seen; tables of
     excluded schemas have their definitions skipped unread.
     """
     out, block, copying, statement, skipping = DumpIndex(uri), None, None, "", False
-    for offset, data, last in _chunks(uri, range_bytes, max(limits.max_row_bytes, range_bytes)):
+    for offset, data, last in _chunks(uri, range_bytes, max(limits.max_row_bytes, range_bytes), options):
         at = 0
         while at < len(data):
             if copying is not None:
@@ -115,6 +117,7 @@ def index(uri: str, *, wanted: Callable[[TableName], bool] = lambda name: True,
             elif header := parse_copy_header(line, here):
                 name, columns = header
                 copying = name
+                out.headers.append(line[5 : take_qualified(line, 5)[1]].strip().encode())
                 if out.dumped_by is None:
                     raise MissingDumpVersion()
                 if name not in out.seen:
@@ -148,19 +151,22 @@ def _columns(table: TableDef | None, name: TableName, columns: tuple[str, ...])
     return tuple((c, declared[c]) for c in columns)
 
 
-def block_lines(spark: SparkSession, uri: str, ranges: list[tuple[int, int]], piece: int = 4 << 20) -> DataFrame:
-    """The rows at ``ranges`` of a file, undecoded, in a string column ``value``; one task a range."""
+def block_lines(spark: SparkSession, uri: str, ranges: list[tuple[int, int]], piece: int = 4 << 20, *, numbered: bool = False, options: Mapping[str, str] | None = None) -> DataFrame:
+    """The rows at ``ranges`` of a file, undecoded, in a string column ``value``; one task a range, or a few, in the file's order.
+
+    ``numbered`` adds ``first`` (where the range begins) and ``n`` (the row's number in it, from 1).
+    """
     send(spark)
     listed = spark.createDataFrame([(uri, a, b) for a, b in ranges], "uri string, first long, end long")
-    listed = listed.repartitionByRange(max(1, len(ranges)), "first") if len(ranges) > 1 else listed.coalesce(1)
+    listed = listed.repartitionByRange(max(1, len(ranges)), "first").sortWithinPartitions("first") if len(ranges) > 1 else listed.coalesce(1)
 
     def read(batches):
         for batch in batches:
-            for where, a, b in zip(*(batch.column(c).to_pylist() for c in ("uri", "first", "end")), strict=True):
-                store, path = file_system(where)
+            for where, begin, b in zip(*(batch.column(c).to_pylist() for c in ("uri", "first", "end")), strict=True):
+                store, path = file_system(where, options)
                 with store.open_input_file(path) as f:
-                    f.seek(a)
-                    rest = b""
+                    f.seek(begin)
+                    a, n, rest = begin, 0, b""
                     while a < b:
                         data = f.read(min(piece, b - a))
                         if not data:
@@ -172,8 +178,10 @@ def block_lines(spark: SparkSession, uri: str, ranges: list[tuple[int, int]], pi
                         if cut:
                             lines = pc.split_pattern(pa.array([data[: cut - 1]], pa.binary()), b"\n").flatten()
                             for at in range(0, len(lines), 20_000):
-                                yield pa.record_batch([lines[at : at + 20_000]], ["value"])
-
-    return listed.mapInArrow(read, "value binary").selectExpr("cast(value as string) as value")
-
+                                part = lines[at : at + 20_000]
+                                number = pa.array(range(n + 1, n + len(part) + 1), pa.int64())
+                                n += len(part)
+                                yield pa.record_batch([part, pa.array([begin] * len(part), pa.int64()), number] if numbered else [part], NUMBERED if numbered else ["value"])
 
+    kind = "value binary, first long, n long" if numbered else "value binary"
+    return listed.mapInArrow(read, kind).selectExpr("cast(value as string) as value", *(["first", "n"] if numbered else []))

@@ -21,7 +21,7 @@ def block(name, columns, rows, end="\\.\n"):
     return f"CREATE TABLE {name} (\n    {', '.join(columns)}\n);\n\nCOPY {name} ({names}) FROM stdin;\n" + "".join(r + "\n" for r in rows) + end
 
 
-TWO = HEAD + block("public.users", ["id integer", "name text"], ["1\talice", "2\tbob", "3\t\\N"]) + block("public.events", ["id bigint", "kind mystery_enum"], ["10\tclick", "11\tview"])
+TWO = HEAD + block("shop.tools", ["id integer", "name text"], ["1\thammer", "2\tsaw", "3\t\\N"]) + block("shop.moves", ["id bigint", "kind move_kind"], ["10\tsold", "11\tview"])
 
 
 @pytest.fixture
@@ -37,13 +37,13 @@ def put(tmp_path):
 def test_two_tables(spark, put, tmp_path):
     report = load_dump(spark, put(TWO), str(tmp_path / "out"))
     assert (report.dumped_by, report.from_database, report.compression, report.total_rows) == (17, 17, "none", 5)
-    users, events = report.tables
-    assert (users.rows, users.delta_version, users.text_fallback_columns) == (3, 1, [])
-    assert events.text_fallback_columns == [("kind", "mystery_enum")]
-    rows = Table(str(tmp_path / "out/public/users")).read(spark).orderBy("id").collect()
-    assert [tuple(r) for r in rows] == [(1, "alice"), (2, "bob"), (3, None)]
-    assert register_views(spark, report, str(tmp_path / "out")) == ["public_users", "public_events"]
-    assert spark.sql("SELECT sum(id) FROM public_events").first()[0] == 21
+    tools, moves = report.tables
+    assert (tools.rows, tools.delta_version, tools.text_fallback_columns) == (3, 1, [])
+    assert moves.text_fallback_columns == [("kind", "move_kind")]
+    rows = Table(str(tmp_path / "out/shop/tools")).read(spark).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "hammer"), (2, "saw"), (3, None)]
+    assert register_views(spark, report, str(tmp_path / "out")) == ["shop_tools", "shop_moves"]
+    assert spark.sql("SELECT sum(id) FROM shop_moves").first()[0] == 21
 
 
 def test_gzip_members(spark, put, tmp_path):
@@ -60,15 +60,15 @@ def test_gzip_members(spark, put, tmp_path):
     [
         (HEAD + block("public.t", ["id integer"], ["1"], end=""), errors.UnterminatedCopy), (HEAD + block("public.t", ["id integer"], ["1"], end="\\."), errors.UnterminatedCopy),
         (TWO.replace("pg_dump version 17.4", "pg_dump version 18.0"), errors.UnsupportedDumpVersion), (TWO.replace("-- Dumped by", "-- made by"), errors.MissingDumpVersion),
-        (HEAD + block("public.t", ["a integer"], ["1\talice\textra"]), errors.FieldCountMismatch), (HEAD + block("public.t", ["a integer"], ["secret"]), errors.UnparsableValue),
-        (HEAD + "CREATE TABLE audit.log not really a column list);\n", errors.MalformedCreateTable), (HEAD + block('public."a/b"', ["a integer"], ["1"]), errors.UnsafeTableName),
+        (HEAD + block("public.t", ["a integer"], ["1\thammer\textra"]), errors.FieldCountMismatch), (HEAD + block("public.t", ["a integer"], ["secret"]), errors.UnparsableValue),
+        (HEAD + "CREATE TABLE attic.notes not really a column list);\n", errors.MalformedCreateTable), (HEAD + block('public."a/b"', ["a integer"], ["1"]), errors.UnsafeTableName),
     ],
 )
 def test_faults_commit_nothing(spark, put, tmp_path, dump, error):
     good = block("public.good", ["id integer"], ["1"])
     with pytest.raises(error) as caught:
         load_dump(spark, put(dump.replace("\n\n", "\n\n" + good, 1)), str(tmp_path / "out"))
-    assert "secret" not in str(caught.value) and "alice" not in str(caught.value)
+    assert "secret" not in str(caught.value) and "hammer" not in str(caught.value)
     assert Table(str(tmp_path / "out/public/good")).snapshot() is None
 
 
@@ -91,30 +91,30 @@ def test_modes_and_drift(spark, put, tmp_path):
 
 
 def test_table_sets(spark, put, tmp_path):
-    dump = put(TWO + block("audit.log", ["id integer"], ["1"]))
-    report = load_dump(spark, dump, str(tmp_path / "a"), tables=["public.users", "public.gone"])
-    assert [t.table for t in report.tables] == ["public.users"] and report.missing_tables == ["public.gone"] and report.unexpected_tables == []
-    report = load_dump(spark, dump, str(tmp_path / "b"), excluded_schemas=["audit"], expect_tables=["public.users", "x.y"])
-    assert [t.table for t in report.tables] == ["public.users", "public.events"]
-    assert report.missing_tables == ["x.y"] and report.unexpected_tables == ["audit.log", "public.events"]
+    dump = put(TWO + block("attic.notes", ["id integer"], ["1"]))
+    report = load_dump(spark, dump, str(tmp_path / "a"), tables=["shop.tools", "public.gone"])
+    assert [t.table for t in report.tables] == ["shop.tools"] and report.missing_tables == ["public.gone"] and report.unexpected_tables == []
+    report = load_dump(spark, dump, str(tmp_path / "b"), excluded_schemas=["attic"], expect_tables=["shop.tools", "x.y"])
+    assert [t.table for t in report.tables] == ["shop.tools", "shop.moves"]
+    assert report.missing_tables == ["x.y"] and report.unexpected_tables == ["attic.notes", "shop.moves"]
     assert load_dump(spark, dump, str(tmp_path / "c"), tables=[]).tables == []
-    broken = put(HEAD + "CREATE TABLE audit.log not really a column list);\n" + block("public.t", ["id integer"], ["1"]), "x")
-    assert load_dump(spark, broken, str(tmp_path / "d"), excluded_schemas=["audit"]).total_rows == 1
+    broken = put(HEAD + "CREATE TABLE attic.notes not really a column list);\n" + block("public.t", ["id integer"], ["1"]), "x")
+    assert load_dump(spark, broken, str(tmp_path / "d"), excluded_schemas=["attic"]).total_rows == 1
 
 
 def test_history_is_a_consistent_set(spark, put, tmp_path):
     out = str(tmp_path / "out")
-    first = load_dump(spark, put(TWO, "1"), out, write_history=True, expect_tables=["public.users", "public.gone"])
-    load_dump(spark, put(TWO.replace("2\tbob\n", ""), "2"), out, write_history=True)
+    first = load_dump(spark, put(TWO, "1"), out, write_history=True, expect_tables=["shop.tools", "public.gone"])
+    load_dump(spark, put(TWO.replace("2\tsaw\n", ""), "2"), out, write_history=True)
     past = Table(f"{out}/{HISTORY}").read(spark)
     assert past.count() == 5
     rows = snapshot_versions(past, first.load_id).collect()
-    assert [(r.table, r.delta_version, r.status) for r in rows] == [("public.events", 1, "loaded"), ("public.gone", None, "missing"), ("public.users", 1, "loaded")]
-    assert Table(f"{out}/public/users").read(spark, 1).count() == 3 and Table(f"{out}/public/users").read(spark).count() == 2
+    assert [(r.table, r.delta_version, r.status) for r in rows] == [("public.gone", None, "missing"), ("shop.moves", 1, "loaded"), ("shop.tools", 1, "loaded")]
+    assert Table(f"{out}/shop/tools").read(spark, 1).count() == 3 and Table(f"{out}/shop/tools").read(spark).count() == 2
     assert first.load_id in snapshot_sql(out, first.load_id)
     with pytest.raises(ValueError):
         snapshot_sql(out, "1' OR '1")
-    assert external_table_sql(first, out, "main", "raw")[0] == f"CREATE TABLE IF NOT EXISTS `main`.`raw`.`public_users` USING DELTA LOCATION '{out}/public/users'"
+    assert external_table_sql(first, out, "main", "raw")[0] == f"CREATE TABLE IF NOT EXISTS `main`.`raw`.`shop_tools` USING DELTA LOCATION '{out}/shop/tools'"
     with pytest.raises(ValueError):
         external_table_sql(first, out, "ma`in", "raw")
 
