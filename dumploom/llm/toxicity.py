@@ -379,7 +379,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, its key and label of rows that may be learned from: crc32 of the id modulo 3 is not 1 (nor is the id null)."""
     marks = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1))
     marks = marks.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("label"))
-    return docs.withColumn("key", text_key()).join(marks, F.col("doc_id") == F.col("_id")).select("text", "key", "label")
+    rows = docs.select(F.col("doc_id").alias("_doc"), "text", text_key().alias("key"))
+    return rows.join(marks, F.col("_doc") == F.col("_id")).select("text", "key", "label")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

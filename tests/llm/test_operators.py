@@ -156,7 +156,8 @@ def test_token_files(spark, odd_docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
+    literals = [(20, "a <|endoftext|> b", "en", "x", 17, "e"), (21, "<|StartOfText|><|startoftext|>", "en", "x", 30, "e")]
+    odd_docs = odd_docs.union(spark.createDataFrame(literals, odd_docs.schema))
     folder = token_files.scratch_path(spark, "t")
     form = token_files.FileFormat(sequence_length=32, sequences_per_batch=4, bytes_per_file=4000)
     files = token_files.write_files(odd_docs, folder, P.path("word_bpe_49k.json"), form=form)
