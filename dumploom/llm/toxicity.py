@@ -17,7 +17,7 @@ scoring is one narrow pass over whole texts.
 Edge cases: null and empty texts score as a sentence without any similarity; without
 labelled rows of both kinds every text scores the share of label 1 (0 without labels); repeated
 label rows of an id count once, the larger label winning; null ids are never learned from; very long
-texts are read in blocks cut at white space; no rows: none; other columns are not looked at.
+texts are read in blocks cut at sentence ends (a sentence of a million characters at a blank); no rows: none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -348,8 +348,11 @@ def _in_groups(model: ToxicityModel, texts: list[str | None]):
                 group, size = [], 0
             parts, at = [], 0
             while at < len(text):
-                cut = text.rfind(" ", at, at + GROUP) + 1 if at + GROUP < len(text) else len(text)
-                cut = cut if cut > at else at + GROUP
+                cut = len(text)
+                if at + GROUP < len(text):  # at the end of a sentence, else of a word, else anywhere
+                    cut = max(text.rfind(mark, at, at + GROUP) for mark in ("\n", ". ", "! ", "? ")) + 1
+                    cut = cut if cut > at else text.rfind(" ", at, at + GROUP) + 1
+                    cut = cut if cut > at else at + GROUP
                 parts += sentence_rows(model, [text[at:cut]])
                 at = cut
             yield np.concatenate(parts)

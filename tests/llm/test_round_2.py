@@ -256,3 +256,12 @@ def test_stages_equal_brute_force(spark, small):
         left = np.frombuffer(t, np.uint8)[~mask].tobytes()
         text = (r.text or "").encode()
         assert text == left or len(left) < len(text) <= len(left) + 6 * (np.diff(mask.astype(int)) != 0).sum()  # whole characters stay
+
+
+def test_long_texts_are_cut_between_sentences(monkeypatch):
+    """Blocks change nothing where sentences fit them."""
+    model = toxicity._with_landmarks(["grumblox"], toxicity.ToxicityParams())
+    text = ". ".join(["the er in", "g r u m b l o x ly", "you grumblox er the grumbolx", "at the re"] * 30)
+    whole = next(iter(toxicity._in_groups(model, [text])))
+    monkeypatch.setattr(toxicity, "GROUP", 40)
+    assert np.allclose(np.sort(next(iter(toxicity._in_groups(model, [text]))), axis=0), np.sort(whole, axis=0)) and len(whole) == 60
