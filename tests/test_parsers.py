@@ -86,7 +86,7 @@ def test_fields(spark):
     read = lambda n: lambda v: fields(v, n, small)
     assert evaluate(spark, "a\t\tb\r", read(3)) == ["a", "", "b"]
     assert evaluate(spark, "", read(1)) == [""]
-    assert evaluate(spark, "1\thammer\tx", read(2)).details == {"found": 3, "expected": 2}
+    assert evaluate(spark, "1\tplank\tx", read(2)).details == {"found": 3, "expected": 2}
     assert isinstance(evaluate(spark, "abcdef", read(1)), errors.FieldTooLarge)
     assert isinstance(evaluate(spark, "abcdefghijklm", read(1)), errors.RowTooLarge)
     assert isinstance(evaluate(spark, "a\tb\tc\td", read(4)), errors.TooManyColumns)
