@@ -4,7 +4,9 @@ Pages of one host share templates. Each page looks for the container with the mo
 neither furniture (menus, adverts, comments) nor links, an article counting half more, goes inwards
 while nothing but furniture and links stays outside, and votes for the generalised tag-class path
 of what it finds: tags with their classes, numbers in classes made alike. A word in a class marks
-furniture only where the element holds at most half of the page's prose. Spark sums the votes of
+furniture only where the element holds at most half of the page's prose. Pages also name the text at each
+of their paths; where most of a host's different pages that have a path say the same there, three at least, its text
+is the template's and is left out, unless it is over half of a page's. Spark sums the votes of
 a host; every page is then read again, where it stands, and its text is taken from the elements at the
 winning path, or from its own best container where it has none there. Headings and paragraphs that stand beside
 such an element, in a container inside the body, are taken with it.
@@ -17,7 +19,9 @@ read whole, one at a time; no rows: none; other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -46,7 +50,8 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
 ARTICLES = frozenset(("article", "main"))
 
-MOST_BROADCAST = 100_000  # hosts whose paths are broadcast, some 100 bytes each
+MOST_BROADCAST = 16 << 20  # characters of hosts' paths that are broadcast
+REPEATED = 3  # different pages of a host that say the same at a path, at least
 SALTS = 16  # tasks over which a host's pages are dealt where there are more
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
@@ -193,8 +198,8 @@ def best_container(nodes: list[Node]) -> Node:
     return top
 
 
-def extract(html: str, path: str | None) -> str:
-    """The blocks under the elements at ``path``, or under the page's best container, one a line."""
+def extract(html: str, path: str | None, repeated: list[str] | None = None) -> str:
+    """The blocks under the elements at ``path``, or under the page's best container, one a line; without those at ``repeated`` paths, if these hold at most half."""
     nodes, blocks = parse(html)
     inside = {id(_whole(n)) for n in nodes if n.path == path and not n.furniture} if path else set()
     if not inside:
@@ -207,48 +212,76 @@ def extract(html: str, path: str | None) -> str:
             node = node.parent
         return False
 
-    return "\n".join(line for node, line in blocks if not node.furniture and under(node))
+    taken = [(node.path, line) for node, line in blocks if not node.furniture and under(node)]
+    template, held, size = set(repeated or ()), defaultdict(int), sum(len(line) for _, line in taken)
+    for at, line in taken:
+        held[at] += len(line)
+    return "\n".join(line for at, line in taken if at not in template or 2 * held[at] > size)
 
 
 def _host() -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def _digest(lines: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(lines).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def _votes(batches):
+    """A row for a page's best path, with its vote, and one for each path that has text, with digests of that text and of the page's."""
     for batch in batches:
-        hosts, paths, votes = [], [], []
+        out = {k: [] for k in ("host", "path", "vote", "said", "page")}
+
+        def add(*row, out=out):
+            for name, v in zip(out, row, strict=True):
+                out[name].append(v)
+
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if host and html:
-                best = best_container(parse(html)[0])
+                nodes, blocks = parse(html)
+                best = best_container(nodes)
                 if best.good:
-                    hosts.append(host)
-                    paths.append(best.path)
-                    votes.append(min(1.0, best.good / 500))
-        yield {"host": hosts, "path": paths, "vote": votes}
+                    add(host, best.path, min(1.0, best.good / 500), None, None)
+                    at = defaultdict(list)
+                    for node, line in blocks:
+                        if not node.furniture:
+                            at[node.path].append(line)
+                    page = _digest([line for lines in at.values() for line in lines])
+                    for path, lines in at.items():
+                        add(host, path, None, _digest(lines), page)
+        yield out
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host and the path that its pages' votes favour; longer articles weigh more, ties go to the first path."""
+    """host, the path that its pages' votes favour, and the paths whose text is the template's.
+
+    Longer articles weigh more, ties go to the first path. Copies of a page count once for what is repeated, so that they make nothing the template's.
+    """
     cast = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html"))
-    votes = arrow_map(cast, _votes, "host string, path string, vote double").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    best = F.max_by("path", F.struct(F.round("votes", 6), F.hash("path"), F.col("path")))
-    return votes.groupBy("host").agg(best.alias("path"))
+    rows = arrow_map(cast, _votes, "host string, path string, vote double, said long, page long")
+    pages_of = rows.groupBy("host", "path", "said", "page").agg(F.sum("vote").alias("votes"))
+    texts = pages_of.groupBy("host", "path", "said").agg(F.sum("votes").alias("votes"), F.count("page").alias("pages"))
+    paths = texts.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.max("pages").alias("same"), F.sum("pages").alias("pages"))
+    order = F.when(F.col("votes").isNotNull(), F.struct(F.round("votes", 6), F.hash("path"), F.col("path")))
+    repeated = F.when((F.col("same") >= REPEATED) & (2 * F.col("same") > F.col("pages")), F.col("path"))
+    return paths.groupBy("host").agg(F.max_by("path", order).alias("path"), F.collect_list(repeated).alias("repeated"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the path used, one row a page."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host().alias("host"))
     paths = materialize(winning_paths(pages), "host-paths")
-    if paths.count() <= MOST_BROADCAST:  # a row a host; pages stay where they are
+    size = paths.agg(F.sum(F.length("host") + F.length("path") + F.length(F.concat_ws(" ", "repeated")))).first()[0] or 0
+    if size <= MOST_BROADCAST:  # pages stay where they are
         joined = rows.join(F.broadcast(paths), "host", "left")
     else:  # the pages of a host are dealt over several tasks
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         joined = salted.join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "_salt"], "left")
-    joined = joined.select("page_id", "url", "html", "path")
+    joined = joined.select("page_id", "url", "html", "path", "repeated")
 
     def run(batches):
         for batch in batches:
-            texts = [extract(h, p) if h else "" for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            texts = [extract(h, p, r) if h else "" for h, p, r in zip(*(batch.column(c).to_pylist() for c in ("html", "path", "repeated")), strict=True)]
             yield {c: batch.column(c) for c in ("page_id", "url", "path")} | {"text": texts, "n_chars": [len(t) for t in texts]}
 
     kind = schema_of(joined, ["page_id", "url"], "text string, n_chars long, path string")

@@ -179,6 +179,19 @@ def test_extraction_keeps_marked_elements_that_hold_the_article(spark):
     assert all(got[f"{h.lower()}{n}"] == f"{h}{n}\n{para}{n}" for h in "AB" for n in range(6))
 
 
+def test_extraction_leaves_out_what_a_host_repeats(spark):
+    """No class word marks it: pages of a host say the same there. Copies of one page, and small hosts, lose nothing."""
+    boxed = "<body><article><h1>T{n}</h1><div class=lead>{p}</div><div class=x7>Get our paper every week</div><p>Stays {n}</p></article>"
+    rows = [(f"a{n}", f"http://a.org/{n}", boxed.format(n=n, p="word " * (20 + n))) for n in range(4)]
+    rows += [(f"b{n}", f"http://b.org/{n}", boxed.format(n=0, p="word " * 20)) for n in range(9)]
+    rows += [(f"c{n}", f"http://c.org/{n}", boxed.format(n=n, p="word " * (20 + n))) for n in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    lead = lambda n: ("word " * (20 + n)).strip()
+    for n in range(4):
+        assert got[f"a{n}"] == f"T{n}\n{lead(n)}\nStays {n}"
+    assert all("every week" in got[k] for k in got if k[0] in "bc")
+
+
 def test_extraction_of_very_many_hosts(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}", f"<body><div class=a><p>{'text ' * 30}{i}</p></div>") for i in range(60)] + [(99, None, "<p>x")], "page_id long, url string, html string")
     want = sorted(map(str, html_extract.extract_pages(pages).collect()))
