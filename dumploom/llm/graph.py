@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dumploom.llm.common import drop_path, materialize, scratch_path
 
 
+#: Tasks over which the rows of one key are dealt where they are told what their group has in common.
+SALTS = 32
+
+
 class UnionFind:
     """Over 0 to n - 1, with path halving; roots are the smallest members."""
 
@@ -46,16 +50,30 @@ def told_apart(classes: DataFrame) -> DataFrame:
     raise RuntimeError("classes could not be told apart")
 
 
-def tiles(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFrame:
+def of_group(rows: DataFrame, keys: list[str], by: str, name: str, part: Column, whole: Callable[[str], Column]) -> DataFrame:
+    """``rows`` with ``name``: the aggregate ``part`` of the rows of their key, whose parts ``whole`` puts together.
+
+    Rows of a key are dealt by ``by`` over ``SALTS`` tasks; one of these hands on its aggregate alone, and gets the whole back.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(31)), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(*keys, "_salt").agg(part.alias(name))
+    wholes = parts.groupBy(*keys).agg(whole(name).alias(name), F.collect_set("_salt").alias("_salts"))
+    return dealt.join(wholes.select(*keys, name, F.explode("_salts").alias("_salt")), [*keys, "_salt"]).drop("_salt")
+
+
+def tiles(rows: DataFrame, keys: list[str], member: str, chunk: int, hot: bool = False) -> DataFrame:
     """``rows`` of keys that at least two members share, dealt into tiles of at most two chunks.
 
     A key's members are dealt by hash into chunks of about ``chunk``; a tile (tile_a, tile_b) gets two
     chunks, so that every pair of members meets in exactly one tile: within a chunk where tile_a =
     tile_b, else across. The column ``side`` is the row's own chunk. Keys of up to ``chunk`` members
-    make one tile and no copies; sizes come from a pre-aggregated count.
+    make one tile and no copies; sizes come from a pre-aggregated count. Rows of ``hot`` keys learn it in several tasks.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    sized = rows.join(sizes, keys).withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int"))
+    if hot:
+        counted = of_group(rows, keys, member, "_n", F.count("*"), F.sum).where("_n > 1")
+    else:
+        counted = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), keys)
+    sized = counted.withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int"))
     sized = sized.withColumn("side", F.pmod(F.xxhash64(member, F.lit(77)), F.col("_chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
     dealt = sized.select("*", other)
@@ -99,18 +117,18 @@ def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that the undirected ``edges`` (a, b; longs) reach, for nodes with edges.
 
-    Alternating large-star and small-star steps; each round is a table in the shared folder. Minima
-    are pre-aggregated, so a node with very many edges is no hot spot there; joins on it can be split.
+    Alternating large-star and small-star steps; each round is a table in the shared folder. The edges
+    of a node, however many, learn its least neighbour in several tasks.
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     path, seen = None, None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = of_group(both, ["u"], "v", "m", F.min("v"), F.min)
+        large = least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = of_group(large, ["u"], "v", "m", F.min("v"), F.min).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = scratch_path(spark, f"{name}-round")
         now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name, step)
         if path:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from dumploom.llm.common import WORD_TABLE, RangeHash, arrow_map, carried, forget, materialize, mix64, schema_of, text_bytes, unpacked, utf8
-from dumploom.llm.graph import UnionFind, components, grouped, groups, tiles, told_apart
+from dumploom.llm.graph import UnionFind, components, grouped, groups, of_group, tiles, told_apart
 
 
 @dataclass(frozen=True)
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     sets = arrow_map(fetched.select("node", "component", "mult", "text"), reshingle, "node long, component long, mult long, shingles binary")
     tile = ["component", "tile_a", "tile_b"]
     sets = materialize(sets, "sets")
-    dealt = tiles(sets, ["component"], "node", params.chunk)
+    dealt = tiles(sets, ["component"], "node", params.chunk, hot=True)
     found = arrow_map(
         grouped(dealt, tile), lambda b: (_verify(t, k, params, needed) for t, k in groups(b, tile)), "node long, other long, links long"
     )
@@ -277,8 +277,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
     of_class = classes.select("node", "h1", "h2", "mult", F.col("rep.doc_id").alias("first")).join(links, "node", "left").join(final, "node", "left")
     of_class = of_class.withColumn("component", F.coalesce("component", "node"))
-    smallest = of_class.groupBy("component").agg(F.min("first").alias("class_id"))
-    known = of_class.join(smallest, "component").select(
+    known = of_group(of_class, ["component"], "node", "class_id", F.min("first"), F.min).select(
         "h1", "h2", F.col("component").alias("group"), "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     joined = rows.join(known, ["h1", "h2"], "left")

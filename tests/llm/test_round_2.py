@@ -132,6 +132,25 @@ def test_classes_with_one_hash_stay_apart(spark):
     assert len({r.node for r in rows}) == 4 and {r.node for r in rows if r.h1 > 1} == {2, 3}
 
 
+def test_components_and_hot_keys_by_brute_force(spark):
+    from dumploom.llm import graph
+
+    rng = random.Random(4)
+    edges = [(0, n) for n in range(1, 400)] + [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(500)] + [(n, n + 1) for n in range(3000, 3040)] + [(7, 7)]
+    union = graph.UnionFind(4000)
+    for a, b in edges:
+        union.join(a, b)
+    nodes = {n for a, b in edges if a != b for n in (a, b)}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), "test")
+    assert sorted(map(tuple, got.collect())) == sorted((n, union.root(n)) for n in nodes)
+
+    rows = spark.createDataFrame([(k, i) for k in range(5) for i in range(1, 1 + 60 ** (k == 3) * (k + 1))], "k long, i long")
+    counted = graph.of_group(rows, ["k"], "i", "n", F.count("*"), F.sum)
+    assert {(r.k, r.n) for r in counted.collect()} == {(0, 1), (1, 2), (2, 3), (3, 240), (4, 5)} and counted.count() == rows.count()
+    plain, hot = (graph.tiles(rows, ["k"], "i", 16, hot=h) for h in (False, True))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, hot.select(plain.columns).collect()))
+
+
 # 1
 
 
